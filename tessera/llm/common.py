@@ -8,6 +8,7 @@ a lost executor costs a re-read and never a replay of the whole job.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -63,6 +64,12 @@ def saved(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of plans that nothing refers to any more; it does so only after a collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -75,7 +82,8 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 def fold(doc_id: str | Column, modulus: int) -> Column:
     """crc32 of the document id written as text, modulo ``modulus``; a null id counts as the text ``null``."""
-    return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("null")).cast("string").cast("binary")) % modulus
+    name = (F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string")
+    return F.crc32(F.coalesce(name, F.lit("null")).cast("binary")) % modulus
 
 
 def hash_share(h: Column, share: float) -> Column:
