@@ -1,18 +1,16 @@
 """Incremental exact substring deduplication on a log-structured fingerprint index.
 
 Windows are ``WINDOW`` consecutive words.  Every window selects, by least hash,
-one of the half-windows (``ANCHOR`` words) inside it, so equal windows select
-equal half-windows at the same place; about one position in thirteen is
-selected.  What a document's windows around one selected half-window span is
+one of the runs of ``ANCHOR`` words inside it (its anchor), so equal windows select
+equal anchors at the same place; about one position in twenty is
+selected.  What a document's windows around one anchor span is
 a *segment*, and the index keeps one entry per segment:
 ``(anchor hash, 128-bit segment digest, first and last doc_id of the batch)``.
 
-* Each ingested batch becomes one immutable *run*, sorted by anchor hash and
-  written once.
-* A new batch is joined with the runs on the anchor hash.  A segment whose whole
-  digest occurs in an earlier document is repeated as it stands.  Where an anchor
-  occurs with different surroundings, the candidates are verified window by
-  window with 128-bit digests computed from the texts themselves.
+* Each ingested batch becomes one immutable *run*, sorted by anchor hash and written once.
+* A new batch is joined with the runs.  A segment whose whole digest occurs in an earlier
+  document is repeated as it stands.  Where an anchor occurs with different surroundings,
+  the candidates are verified window by window with 128-bit digests computed from the texts themselves.
 * When more than ``fan_out`` runs have gathered, they are compacted into one.
 
 Documents that repeat an earlier document word for word are settled by a digest
@@ -27,14 +25,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import delete_path, new_path, partitions, saved, small_batches
+from tessera.llm.common import delete_path, new_path, release, saved, small_batches
 
 WINDOW = 50
-ANCHOR = 25
+ANCHOR = 10
 
 _MULT = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _MASK = (1 << 64) - 1
@@ -181,9 +179,13 @@ class FingerprintIndex:
     """Sorted immutable runs of segment fingerprints below ``path``.
 
     Batches arrive in ascending doc_id order; an earlier document always wins.
-    ``ingest`` returns the windows to remove from the batch and appends its run.
+    ``ingest`` appends a batch's run and returns what it has in common with the runs; ``verify``
+    turns that into the windows to remove.
     """
 
+    _RUN = "anchor long, s1 long, s2 long, first long, last long"
+    _COPIES = "d1 long, d2 long, first long"
+
     def __init__(self, spark: SparkSession, path: str | None = None, fan_out: int = 8) -> None:
         self.spark, self.path, self.fan_out = spark, path or new_path(spark, "fingerprints"), fan_out
         self.made = 0
@@ -202,38 +204,38 @@ class FingerprintIndex:
             if fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{where}/_SUCCESS")):
                 (self.runs if "/run-" in where else self.copies).append(where)
         self.runs.sort()
-        self.copies.sort()
+        self.copies = sorted(self.copies)[-1:]
         self.made = 1 + max([-1, *(int(r.rsplit("-", 1)[1]) for r in self.runs)])
 
-    _RUN = "anchor long, s1 long, s2 long, doc_id long, last long"
-    _COPIES = "d1 long, d2 long, first long"
-
     def _read(self, paths: list[str], schema: str) -> DataFrame:
         if not paths:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*paths)
 
-    def _write_run(self, rows: DataFrame) -> str:
+    def _write_run(self, classes: DataFrame) -> str:
         path = f"{self.path}/run-{self.made:06d}"
-        order = ["anchor", "s1", "s2", "doc_id", "last"]
-        saved(rows.select(order).repartitionByRange(partitions(self.spark), *order).sortWithinPartitions(order), "run", path)
+        saved(classes.select("anchor", "s1", "s2", "first", "last").sortWithinPartitions("anchor", "s1", "s2"), "run", path)
         self.made += 1
         return path
 
+    @staticmethod
+    def _merge(rows: DataFrame, *more: Column) -> DataFrame:
+        return rows.groupBy("s1", "s2").agg(F.min("anchor").alias("anchor"), F.min("first").alias("first"), F.max("last").alias("last"), *more)
+
     def compact(self) -> None:
-        """Merges all runs into one; of equal entries the earliest document stays."""
+        """Merges all runs into one; equal entries become one of the earliest and the latest document."""
         if len(self.runs) < 2:
             return
-        merged = self._read(self.runs, self._RUN).groupBy("anchor", "s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.max("last").alias("last"))
-        old, self.runs = self.runs, [self._write_run(merged)]
+        old, self.runs = self.runs, [self._write_run(self._merge(self._read(self.runs, self._RUN)))]
         for path in old:
             delete_path(self.spark, path)
 
-    def ingest(self, batch: DataFrame, history: DataFrame | None = None) -> DataFrame:
-        """``batch`` and ``history`` are (doc_id, text).  ``history`` holds the texts of the documents
-        ingested before, read only to verify candidates.
+    def ingest(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """``batch`` is (doc_id, text).  Returns
 
-        Returns (doc_id, th, ranges): windows first..last to remove, for rows that lose any.
+        * (doc_id, s1, whole): segments that earlier documents hold whole, and - of this batch and
+          of documents ingested before - the segments to verify window by window;
+        * (doc_id, th, lo, hi): all windows of the documents that repeat an earlier one word for word.
         """
         small_batches(self.spark)
         keyed = batch.where("doc_id is not null").select("doc_id", _text_hash("text").alias("th"), "text")
@@ -241,42 +243,42 @@ class FingerprintIndex:
 
         before = self._read(self.copies, self._COPIES)
         first = before.unionAll(scan.select("d1", "d2", F.col("doc_id").alias("first"))).groupBy("d1", "d2").agg(F.min("first").alias("first"))
-        self.copies.append(f"{self.path}/copies-{self.made:06d}")
-        first = saved(first, "copies", self.copies[-1])
-        self.copies = self.copies[-1:]  # it holds what the earlier ones held
+        self.copies = [f"{self.path}/copies-{self.made:06d}"]  # it holds what the earlier ones held
+        first = saved(first, "copies", self.copies[0])
         rows = scan.select("doc_id", "th", "n_words", "d1", "d2").join(first, ["d1", "d2"])
-        dead = rows.where("first < doc_id").select("doc_id", "th", F.lit(0).alias("lo"), (F.col("n_words") - WINDOW).cast("int").alias("hi"))
+        dead = saved(rows.where("first < doc_id").select("doc_id", "th", F.lit(0).alias("lo"), (F.col("n_words") - WINDOW).cast("int").alias("hi")), "copied")
 
         alive = scan.join(first, [scan.d1 == first.d1, scan.d2 == first.d2, scan.doc_id == first["first"]], "left_semi")
-        zipped = F.explode(F.arrays_zip("anchor", "s1", "s2")).alias("e")
-        entries = alive.select("doc_id", zipped).select("e.anchor", "e.s1", "e.s2", "doc_id")
-        run = self._write_run(entries.groupBy("anchor", "s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")))
-
-        fresh, old = self._read([run], self._RUN), self._read(self.runs, self._RUN)
-        # the merge join: entries of the runs whose anchor the batch has, with the batch's own
-        seen = old.join(fresh.select("anchor").distinct(), "anchor", "left_semi").unionAll(fresh) if self.runs else fresh
-        classes = seen.groupBy("anchor", "s1", "s2").agg(F.min("doc_id").alias("first"), F.max("last").alias("last"))
-        classes = saved(classes, "classes")
-        mixed = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("first").alias("a"), F.max("last").alias("z"))
-        mixed = mixed.where("kinds > 1 and a < z").select("anchor")
-        again = entries.distinct().join(classes.where("first < last"), ["anchor", "s1", "s2"]).where("first < doc_id").select("doc_id", "s1", F.lit(True).alias("whole"))
-        verify = classes.join(mixed, "anchor", "left_semi").select(F.col("first").alias("doc_id"), "s1", F.lit(False).alias("whole"))
-        hits = again.unionAll(verify).groupBy("doc_id").agg(F.collect_set(F.struct("s1", "whole")).alias("hits"))
-
-        texts = keyed if history is None else keyed.unionAll(history.where("doc_id is not null").select("doc_id", _text_hash("text").alias("th"), "text"))
-        marks = saved(texts.join(hits, "doc_id").select("doc_id", "th", "text", "hits").mapInArrow(_mark, _MARKS), "marks")
-        windows = marks.where("not whole")
-        known = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-        repeats = windows.join(known.select("h1", "h2", "first"), ["h1", "h2"]).where("first < doc_id")
-        gone = marks.where("whole").select("doc_id", "th", "lo", "hi").unionAll(repeats.select("doc_id", "th", "lo", "hi"))
-        gone = gone.join(keyed.select("doc_id").distinct(), "doc_id", "left_semi") if history is not None else gone
-        gone = gone.unionAll(dead)
-        out = gone.groupBy("doc_id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
-        out = saved(out, "ranges")
+        entries = alive.select("doc_id", F.explode(F.arrays_zip("anchor", "s1", "s2")).alias("e")).select("e.anchor", "e.s1", "e.s2", "doc_id")
+        run = self._write_run(self._merge(entries.select("anchor", "s1", "s2", F.col("doc_id").alias("first"), F.col("doc_id").alias("last"))))
+        classes = self._read([run], self._RUN).withColumn("fresh", F.lit(True))
+        if self.runs:  # the merge with history
+            seen = classes.unionAll(self._read(self.runs, self._RUN).withColumn("fresh", F.lit(False)))
+            classes = saved(self._merge(seen, F.max("fresh").alias("fresh")), "merged")
+        mixed = classes.groupBy("anchor").agg(F.min("s1").alias("a"), F.max("s1").alias("z"), F.max("fresh").alias("fresh")).where("a <> z and fresh").select("anchor")
+        again = entries.select("s1", "s2", "doc_id").join(classes.where("first < last and fresh").select("s1", "s2", "first"), ["s1", "s2"]).where("first < doc_id")
+        verify = classes.select("anchor", "s1", "first").join(mixed, "anchor", "left_semi")
+        hits = again.select("doc_id", "s1", F.lit(True).alias("whole")).unionAll(verify.select(F.col("first").alias("doc_id"), "s1", F.lit(False).alias("whole")))
+        hits = saved(hits, "hits")
 
         self.runs.append(run)
         if len(self.runs) > self.fan_out:
             self.compact()
+        release(self.spark)
+        return hits, dead
+
+    def verify(self, texts: DataFrame, hits: DataFrame, dead: DataFrame) -> DataFrame:
+        """``texts`` (doc_id, text) of all documents that ``hits`` names -> (doc_id, th, ranges) of windows to remove."""
+        small_batches(self.spark)
+        keyed = texts.where("doc_id is not null").select("doc_id", _text_hash("text").alias("th"), "text")
+        mine = hits.groupBy("doc_id").agg(F.collect_set(F.struct("s1", "whole")).alias("hits"))
+        marks = saved(keyed.join(mine, "doc_id").select("doc_id", "th", "text", "hits").mapInArrow(_mark, _MARKS), "marks")
+        windows = marks.where("not whole")
+        known = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+        repeats = windows.join(known.select("h1", "h2", "first"), ["h1", "h2"]).where("first < doc_id")
+        gone = marks.where("whole").select("doc_id", "th", "lo", "hi").unionAll(repeats.select("doc_id", "th", "lo", "hi")).unionAll(dead)
+        out = saved(gone.groupBy("doc_id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")), "ranges")
+        release(self.spark)
         return out
 
 
@@ -326,14 +328,14 @@ def deduplicate(docs: DataFrame, batches: int = 2, id_col: str = "doc_id", text_
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     bounds = src.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10000).alias("q")).first()["q"] if batches > 1 else []
     edges = [None, *sorted(set(bounds or [])), None]
-    index, ranges = FingerprintIndex(spark), []
+    index, found = FingerprintIndex(spark), []
     for lo, hi in zip(edges[:-1], edges[1:]):
         part = src if lo is None else src.where(F.col("doc_id") > lo)
-        part = part if hi is None else part.where(F.col("doc_id") <= hi)
-        ranges.append(index.ingest(part, None if lo is None else src.where(F.col("doc_id") <= lo)))
-    gone = ranges[0]
-    for r in ranges[1:]:
-        gone = gone.unionAll(r)
+        found.append(index.ingest(part if hi is None else part.where(F.col("doc_id") <= hi)))
+    hits, dead = found[0]
+    for h, d in found[1:]:
+        hits, dead = hits.unionAll(h), dead.unionAll(d)
+    gone = index.verify(src, hits, dead)
     gone = gone.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "ranges").withColumnRenamed("ranges", "_ranges")
     joined = docs.join(gone, [F.col(id_col).cast("long") == F.col("_id"), _text_hash(text_col) == F.col("_th")], "left")
     joined = joined.select(*docs.columns, "_ranges")
