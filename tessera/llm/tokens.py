@@ -15,9 +15,14 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-#: Distinct words and pieces that a worker remembers; beyond it starts afresh.
-MEMO = 500_000
+#: Distinct words, and pieces of words, that a worker remembers; beyond it starts afresh.
+WORDS, PIECES = 1_200_000, 700_000
+#: Words longer than this are encoded but not remembered.
+LONG = 64
+#: Pieces handed to the library in one text.
+_TOGETHER = 500
 
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"  # neither letters nor digits: at a word's end, one piece
 _ODD = re.compile("[\x1c-\x1fɐ-\U0010ffff]")
 _CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 _WORD_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -33,9 +38,13 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # control strings in a text are ordinary text
+        vocabulary = self.tokenizer.get_vocab()
         self.kind = kind
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        # a token that ends a piece (word kind) or begins one (byte kind: those with a leading blank)
+        self.edge = np.zeros(1 + max(vocabulary.values()), bool)
+        self.edge[[i for t, i in vocabulary.items() if (t.endswith("</w>") if kind == "word" else t.startswith("\u0120"))]] = True
 
     @classmethod
     def open(cls, path: str, kind: str) -> "Encoder":
@@ -46,41 +55,91 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, new: list[str]) -> None:
-        pattern = _WORD_PIECES if self.kind == "word" else _BYTE_PIECES
-        split = [pattern.findall(w.lower() if self.kind == "word" else w) for w in new]
-        if len(self.pieces) > MEMO:
+    def _split(self, word: str) -> list[str]:
+        """The pre-tokenizer's pieces of a word (of a word and the blank before it, for the byte kind)."""
+        if self.kind == "word":
+            word = word.lower()
+            if word.isalpha():
+                return [word]
+            core = word.rstrip(_MARKS)
+            return [core, word[len(core) :]] if core.isalpha() else _WORD_PIECES.findall(word)
+        if word[0] == " ":
+            if word[1:].isalpha():
+                return [word]
+            core = word.rstrip(_MARKS)
+            if core[1:].isalpha():
+                return [core, word[len(core) :]]
+        return _BYTE_PIECES.findall(word)
+
+    def _remember(self, pieces: list[str], ids: np.ndarray, cut: np.ndarray) -> None:
+        raw, at = ids.astype("<u4").tobytes(), (cut * 4).tolist()
+        self.pieces.update((p, raw[at[i] : at[i + 1]]) for i, p in enumerate(pieces))
+
+    def _encode_pieces(self, pieces: list[str]) -> None:
+        """Encodes new pieces, many in one text where their bounds can be told from the tokens."""
+        word = self.kind == "word"
+        joined = pieces if word else [p for p in pieces if p[0] == " " and len(p) > 1]
+        rest = [] if word else [p for p in pieces if p[0] != " " or len(p) == 1]
+        groups = [joined[i : i + _TOGETHER] for i in range(0, len(joined), _TOGETHER)]
+        texts = [(" " if word else "").join(g) for g in groups]
+        for group, got in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else ()):
+            ids = np.array(got.ids, np.int64)
+            at = np.flatnonzero(self.edge[ids])
+            if len(at) != len(group):
+                rest += group
+            else:
+                self._remember(group, ids, np.concatenate(([0], at + 1)) if word else np.concatenate((at, [len(ids)])))
+        if rest:
+            got = self.tokenizer.encode(rest, is_pretokenized=True, add_special_tokens=False)
+            self._remember(rest, np.array(got.ids, np.int64), np.searchsorted(np.array(got.word_ids), np.arange(len(rest) + 1)))
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        split = [self._split(w) for w in new]
+        if len(self.pieces) > PIECES:
             self.pieces.clear()
-        fresh = list({p for s in split for p in s if p not in self.pieces})
+        known = self.pieces
+        fresh = list({p for s in split for p in s if p not in known})
         if fresh:
-            got = self.tokenizer.encode(fresh, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(got.ids, "<u4").tobytes()
-            cut = (np.searchsorted(np.array(got.word_ids), np.arange(len(fresh) + 1)) * 4).tolist()
-            for i, p in enumerate(fresh):
-                self.pieces[p] = ids[cut[i] : cut[i + 1]]
-        for w, s in zip(new, split):
-            self.words[w] = b"".join([self.pieces[p] for p in s])
+            self._encode_pieces(fresh)
+        found = {w: known[s[0]] if len(s) == 1 else b"".join([known[p] for p in s]) for w, s in zip(new, split)}
+        for p in fresh:
+            if len(p) > LONG:
+                del known[p]
+        return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers; a null text has none."""
         out: list[bytes | None] = [None] * len(texts)
-        easy: list[int] = []
-        split: list[list[str]] = []
+        if len(self.words) > WORDS:
+            self.words.clear()
+        get = self.words.get
+        wait: list[tuple[int, list[str], list[bytes | None], list[int]]] = []
+        new: set[str] = set()
         for i, t in enumerate(texts):
             if not t:
                 out[i] = b""
             elif _ODD.search(t):
                 out[i] = self.whole(t)
             else:
-                easy.append(i)
-                split.append(t.split() if self.kind == "word" else _CHUNK.findall(t))
-        if len(self.words) > MEMO:
-            self.words.clear()
-        known = self.words
-        new = [w for w in set().union(*split) if w not in known]
-        if new:
-            self._learn(new)
-        get = known.__getitem__
-        for i, words in zip(easy, split):
-            out[i] = b"".join(map(get, words))
+                words = t.split() if self.kind == "word" else _CHUNK.findall(t)
+                parts = list(map(get, words))
+                missing, k = [], -1
+                try:
+                    while True:
+                        k = parts.index(None, k + 1)
+                        missing.append(k)
+                except ValueError:
+                    pass
+                if missing:
+                    wait.append((i, words, parts, missing))
+                    new.update([words[k] for k in missing])
+                else:
+                    out[i] = b"".join(parts)
+        if wait:
+            found = self._learn(list(new))
+            for i, words, parts, missing in wait:
+                for k in missing:
+                    parts[k] = found[words[k]]
+                out[i] = b"".join(parts)
+            self.words.update((w, b) for w, b in found.items() if len(w) <= LONG)
         return out
