@@ -1,10 +1,9 @@
 """Benchmark decontamination: BM25 with block-max WAND over an inverted index of the test items.
 
 Every document is read whole, in passages of ``PASSAGE`` words that overlap by half.  A passage is a
-query against the index of test items.  Score bounds prune in two steps: the sum of its
-terms' greatest impacts on any item, then - for each block of items - the sum of the
-terms' greatest impacts within the block.  Only items of blocks whose bound reaches the
-threshold are scored.  The threshold is a share of the score that an item's own text
+query against the index of test items.  Score bounds prune block by block: the sum of the greatest impacts
+of its words on any item of the block, first with repeated words counted each time, then - for passages
+still in question - once.  Only items of blocks whose bound reaches the threshold are scored.  The threshold is a share of the score that an item's own text
 reaches, so all items above it are retrieved, however many.
 
 A retrieved item is then verified on the document's words: its question part (all but the
@@ -29,14 +28,17 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import saved, small_batches
 
-PASSAGE, STEP = 96, 48
+STEP = 48
+PASSAGE = 2 * STEP
 K1, B = 1.2, 0.75
 SHARE = 0.45  # of an item's own score
 ANSWER = 8
 GRAM = 3
 QUESTION_SHARE, ANSWER_SHARE = 0.6, 0.5
 ITEMS = 20_000
-BLOCK = 16
+BLOCK, FINE, SHARD = 16, 2, 256
+#: Words searched together.
+GATHER = 1 << 18
 
 _WORD = re.compile(r"\w+")
 
@@ -46,7 +48,11 @@ def words(text: str | None) -> list[str]:
 
 
 class ItemIndex:
-    """Inverted index of items, cut into blocks of ``BLOCK`` by their smallest self score."""
+    """Inverted index of items in order of self score, cut into shards of ``SHARD`` items and blocks of ``BLOCK`` and ``FINE``.
+
+    A shard keeps each term's greatest impact in each of its blocks as small dense tables, so the
+    bounds of all passages of a batch are one gather and one segmented sum.
+    """
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         tokens = [(i, words(t)) for i, t in items]
@@ -61,26 +67,27 @@ class ItemIndex:
             base = K1 * (1 - B + B * len(ws) / mean)
             return {w: idf[w] * c * (K1 + 1) / (c + base) for w, c in Counter(ws).items()}
 
-        rows = sorted(((sum(impacts(ws).values()), i, ws, impacts(ws)) for i, ws in tokens), key=lambda r: (r[0], r[1]))
+        rows = sorted(((sum(x.values()), i, ws, x) for i, ws, x in ((i, ws, impacts(ws)) for i, ws in tokens)), key=lambda r: (r[0], r[1]))
         self.ids = [r[1] for r in rows]
         self.words = [r[2] for r in rows]
+        self.grams = [self._grams(ws) for ws in self.words]
         self.need = np.array([SHARE * r[0] for r in rows])
-        self.blocks = -(-n // BLOCK)
-        self.block_need = np.array([self.need[b * BLOCK] for b in range(self.blocks)])
         self.postings: list[list[tuple[int, float]]] = [[] for _ in self.terms]
         for at, r in enumerate(rows):
             for w, x in r[3].items():
                 self.postings[self.terms[w]].append((at, x))
-        self.top = np.zeros(len(self.terms))
-        self.block_top: list[dict[int, float]] = []
-        for t, posting in enumerate(self.postings):
-            best: dict[int, float] = defaultdict(float)
-            for at, x in posting:
-                best[at // BLOCK] = max(best[at // BLOCK], x)
-            self.block_top.append(dict(best))
-            self.top[t] = max(best.values())
-        self.least = float(self.block_need.min()) if n else np.inf
-        self.grams = [self._grams(ws) for ws in self.words]
+        self.shards = []
+        for lo in range(0, n, SHARD):
+            hi = min(n, lo + SHARD)
+            tables = []
+            for size in (BLOCK, FINE):
+                table = np.zeros((len(self.terms) + 1, -(-(hi - lo) // size)), np.float32)
+                for t, p in enumerate(self.postings):
+                    for at, x in p:
+                        if lo <= at < hi:
+                            table[t, (at - lo) // size] = max(table[t, (at - lo) // size], x)
+                tables += [table, self.need[lo:hi:size].astype(np.float32)]
+            self.shards.append((lo, *tables))
 
     @staticmethod
     def _grams(ws: list[str]) -> tuple[list[tuple], list[tuple]]:
@@ -90,23 +97,14 @@ class ItemIndex:
         runs = lambda s: [tuple(s[i : i + min(GRAM, len(s))]) for i in range(max(1, len(s) - GRAM + 1))]
         return runs(question), runs(answer)
 
-    def retrieve(self, terms: np.ndarray) -> list[int]:
-        """Items whose BM25 score for a passage of distinct ``terms`` reaches their threshold."""
-        bounds: dict[int, float] = defaultdict(float)
-        for t in terms.tolist():
-            for b, x in self.block_top[t].items():
-                bounds[b] += x
-        alive = {b for b, x in bounds.items() if x >= self.block_need[b] - 1e-9}
-        if not alive:
-            return []
+    def score(self, terms: np.ndarray, lo: int, alive: set[int]) -> list[int]:
+        """Items in the ``alive`` blocks of the shard at ``lo`` whose BM25 score for a passage of distinct ``terms`` reaches their threshold."""
         scores: dict[int, float] = defaultdict(float)
         for t in terms.tolist():
-            if alive.isdisjoint(self.block_top[t]):
-                continue
             for at, x in self.postings[t]:
-                if at // BLOCK in alive:
+                if at >= lo and (at - lo) // FINE in alive:
                     scores[at] += x
-        return [at for at, x in scores.items() if x >= self.need[at] - 1e-9]
+        return [at for at, x in scores.items() if x >= self.need[at] - 1e-6]
 
     def verify(self, at: int, seen: set[tuple]) -> bool:
         """Whether a passage with word runs ``seen`` holds the item's question and answer."""
@@ -116,35 +114,78 @@ class ItemIndex:
         share = lambda runs: sum(r in seen for r in runs) / len(runs)
         return share(question) >= QUESTION_SHARE and share(answer) >= ANSWER_SHARE
 
+    def find_all(self, texts: list[str | None]) -> list[list[int]]:
+        """Ids of the items that each whole text holds."""
+        found: list[set[int]] = [set() for _ in texts]
+        if not self.ids:
+            return [[] for _ in texts]
+        held: list[tuple[int, list[str], np.ndarray]] = []
+        size, get, none = 0, self.terms.get, len(self.terms)
+        for row, text in enumerate(texts):
+            if text:
+                ws = words(text)
+                held.append((row, ws, np.array([get(w, none) for w in ws], np.int32)))
+                size += len(ws)
+            if size > GATHER:
+                self._search(held, found)
+                held, size = [], 0
+        if held:
+            self._search(held, found)
+        return [sorted(self.ids[at] for at in f) for f in found]
+
     def find(self, text: str | None) -> list[int]:
-        """Ids of the items that a whole text holds."""
-        if not text or not self.ids:
-            return []
-        ws = words(text)
-        n = len(ws)
-        get = self.terms.get
-        codes = np.array([get(w, -1) for w in ws], np.int64)
-        hit = np.flatnonzero(codes >= 0)
-        if not len(hit):
-            return []
-        impact = np.concatenate(([0.0], np.cumsum(np.where(codes >= 0, self.top[codes], 0))))
-        starts = np.arange(0, max(1, n - PASSAGE + STEP), STEP)
-        stops = np.minimum(starts + PASSAGE, n)
-        # repeated terms count once in a passage, so this bound is generous, never short
-        starts, stops = (x[impact[stops] - impact[starts] >= self.least - 1e-9] for x in (starts, stops))
-        found: set[int] = set()
-        for s, e in zip(starts.tolist(), stops.tolist()):
-            terms = np.unique(codes[s:e])
-            terms = terms[terms >= 0]
-            if self.top[terms].sum() < self.least - 1e-9:
-                continue
-            open_ = [at for at in self.retrieve(terms) if at not in found]
-            if open_:
-                lo, hi = max(0, s - PASSAGE), min(n, e + PASSAGE)
-                part = ws[lo:hi]
-                seen = {tuple(part[i : i + k]) for k in range(1, GRAM + 1) for i in range(len(part) - k + 1)}
-                found.update(at for at in open_ if self.verify(at, seen))
-        return sorted(self.ids[at] for at in found)
+        return self.find_all([text])[0]
+
+    def _search(self, held: list[tuple[int, list[str], np.ndarray]], found: list[set[int]]) -> None:
+        none = len(self.terms)
+        held = [h for h in held if len(h[2])]
+        if not held:
+            return
+        codes = np.concatenate([h[2] for h in held])
+        sizes = np.array([len(h[2]) for h in held])
+        base = np.cumsum(sizes) - sizes
+        parts = -(-sizes // STEP)  # a passage is two neighbouring steps
+        part_of = np.repeat(np.arange(len(held)), parts)
+        first = np.cumsum(parts) - parts
+        place = np.arange(len(part_of)) - first[part_of]
+        start = base[part_of] + place * STEP
+        last = place == parts[part_of] - 1
+        lead = np.flatnonzero(~last | (place == 0))  # a step that begins a passage
+        follow = np.where(last[lead], lead, lead + 1)
+        stop = np.minimum(start + PASSAGE, base[part_of] + sizes[part_of])
+        for lo, table, need, fine, fine_need in self.shards:
+            # a term that a passage repeats counts each time, so this first bound is generous, never short
+            step = np.add.reduceat(table[codes], start, axis=0)
+            rough = step[lead]
+            rough[follow != lead] += step[follow[follow != lead]]
+            some = lead[(rough >= need - 1e-3).any(axis=1)]
+            for cut in range(0, len(some), 512):
+                self._confirm(held, found, codes, base, part_of, start, stop, some[cut : cut + 512], lo, fine, fine_need)
+
+    def _confirm(self, held, found, codes, base, part_of, start, stop, some, lo, fine, need) -> None:
+        """Passages still in question: bounds of their distinct terms on small blocks, then scores, then the words themselves."""
+        none = len(self.terms)
+        n = stop[some] - start[some]
+        own = np.repeat(np.arange(len(some)), n)
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[some], n)
+        own, at = own[codes[at] < none], at[codes[at] < none]
+        own, terms = np.divmod(np.unique(own * (none + 1) + codes[at]), none + 1)
+        edge = np.searchsorted(own, np.arange(len(some) + 1))
+        full = np.flatnonzero(edge[1:] > edge[:-1])
+        if not len(full):
+            return
+        alive = np.add.reduceat(fine[terms], edge[:-1][full], axis=0) >= need - 1e-3
+        for k in np.flatnonzero(alive.any(axis=1)).tolist():
+            p = int(full[k])
+            doc = part_of[some[p]]
+            row, ws, _ = held[doc]
+            got = self.score(terms[edge[p] : edge[p + 1]], lo, set(np.flatnonzero(alive[k]).tolist()))
+            got = [i for i in got if i not in found[row]]
+            if got:
+                s, e = int(start[some[p]] - base[doc]), int(stop[some[p]] - base[doc])
+                part = ws[max(0, s - PASSAGE) : e + PASSAGE]
+                seen = {tuple(part[i : i + g]) for g in range(1, GRAM + 1) for i in range(len(part) - g + 1)}
+                found[row].update(i for i in got if self.verify(i, seen))
 
 
 def _blocks(items: DataFrame, most: int) -> Iterator[list[tuple[int, str]]]:
@@ -178,7 +219,7 @@ def contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", out_
         def run(batches: Iterator[pa.RecordBatch], sent=sent, had=had) -> Iterator[pa.RecordBatch]:
             index = ItemIndex(sent.value)
             for b in batches:
-                got = [index.find(t) for t in b.column(at).to_pylist()]
+                got = index.find_all(b.column(at).to_pylist())
                 cols = list(b.columns)
                 if had:
                     got = [sorted({*a, *g}) for a, g in zip(cols.pop().to_pylist(), got)]
