@@ -169,3 +169,21 @@ def compare_runs(store: ResultStore, ids: DataFrame, truth: str = "brute_force",
             row["recall"] = 1.0 if name == truth else metrics.recall(run.pairs, base).first()["recall"]
         out.append(row)
     return out
+
+
+#: The parameters of the three methods of a quick comparison.
+QUICK = {
+    "centroid": ("centroid_join", {"centroid_join": {"n_clusters": 1024, "k_db_candidates": 8192, "sample_fraction": 1.0}}),
+    "ivf": ("cuvs_ivf_flat", {"cuvs_ivf_flat": {"n_lists": 256, "n_probes": 64, "k": 1024}}),
+    "brute_force": ("brute_force", {}),
+}
+
+
+def run_quick(store: ResultStore, a: DataFrame, b: DataFrame | None, threshold: float, methods: list[str] | None = None) -> list[dict[str, Any]]:
+    """Runs the named methods of ``QUICK`` (all by default), stores them under their names and compares all stored runs."""
+    for name in methods or QUICK:
+        if name not in QUICK:
+            raise ValueError(f"unknown method {name!r}")
+        method, changes = QUICK[name]
+        run_method(store, a, b, method, Params(threshold=threshold).replace(**changes), name)
+    return compare_runs(store, a.select("vec_id"), other_ids=None if b is None else b.select("vec_id"))

@@ -186,3 +186,11 @@ def test_entry(spark, data):
     assert e.entry(spark).count() == 66
     q, sql = e.queries(), e.oracle_sql()
     assert set(sql) <= set(q)
+
+
+def test_quick_comparison(spark, vectors, tmp_path):
+    store = ResultStore(spark, f"file://{tmp_path}/quick")
+    got = {r["method"]: r for r in methods.run_quick(store, vectors.where("vec_id < 60"), None, 3.0, ["centroid", "brute_force"])}
+    assert got["brute_force"]["recall"] == got["centroid"]["recall"] == 1.0 and got["centroid"]["n_points"] == 60
+    with pytest.raises(ValueError):
+        methods.run_quick(store, vectors, None, 3.0, ["other"])
