@@ -28,6 +28,8 @@ SAMPLE_PER_LANGUAGE = 500
 CENTROIDS = 4
 #: A text is rejected below this share of the sample's ``TAIL`` quantile of cosines.
 SLACK, TAIL = 0.35, 0.002
+#: Texts of fewer n-grams are nearer to nothing by nature; their share falls with their size.
+FULL = 150
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -78,10 +80,11 @@ class LanguageModel:
         """Language, cosine clipped to 0..1, and whether it is rejected."""
         if not has_letter(text) or not len(self.centroids):
             return UNKNOWN, 0.0, True
-        near = self.centroids @ weigh(counts(text), self.idf)
+        count = counts(text)
+        near = self.centroids @ weigh(count, self.idf)
         best = int(near.argmax())
         score = float(min(1.0, max(0.0, near[best])))
-        return self.languages[self.of[best]], score, score < self.floor[self.of[best]]
+        return self.languages[self.of[best]], score, score < self.floor[self.of[best]] * min(1.0, count.sum() / FULL)
 
 
 def _cluster(x: np.ndarray, k: int, seed: int = 42, rounds: int = 15) -> np.ndarray:
