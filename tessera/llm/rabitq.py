@@ -1,10 +1,11 @@
 """Approximate nearest neighbours on randomly rotated one-bit codes.
 
-A vector, less the centroid of all, is rotated and kept as its signs (one bit
-a dimension) with two scalars: its norm, and the inner product of the unit vector
+A vector, less the centroid of all, is rotated in ``TURNS`` random ways and kept as its signs (one bit
+a dimension and turn) with two scalars: its norm, and the inner product of the unit vector
 with its own code.  A query's inner product with a vector is estimated from the code;
 ``EPSILON`` standard errors around the estimate bound it.  Whatever may
-belong to a query's nearest by that bound is reranked on the original vectors.
+belong to a query's nearest by that bound is reranked on the original vectors.  What a query's
+nearest must reach at least is known beforehand from a bounded sample of rows.
 """
 
 from __future__ import annotations
@@ -19,16 +20,23 @@ from pyspark.sql import functions as F
 from tessera.llm.common import saved
 
 K = 20
-EPSILON = 3.0
+EPSILON = 4.0
+TURNS = 4
 SEED = 42
+#: Rows whose exact scores give each query a first threshold; a bound.
+SAMPLE = 4096
 #: Queries sent to the executors at once (the bound of what is broadcast), and rows estimated at once.
 QUERY_BLOCK = 8192
 ROW_BLOCK = 1024
 
 
 def rotation(dim: int, seed: int = SEED) -> np.ndarray:
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
-    return q * np.sign(np.diag(r))
+    """(TURNS * dim, dim): random orthogonal matrices one below the other."""
+    rng, out = np.random.default_rng(seed), []
+    for _ in range(TURNS):
+        q, r = np.linalg.qr(rng.standard_normal((dim, dim)))
+        out.append(q * np.sign(np.diag(r)))
+    return np.concatenate(out)
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -63,8 +71,8 @@ def encode(rows: DataFrame, dim: int, center: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = (_matrix(b.column(1), dim) - center) @ turn.T
-            norm = np.sqrt((x * x).sum(axis=1))
-            fit = np.abs(x).sum(axis=1) / np.sqrt(dim) / np.where(norm > 0, norm, 1)
+            norm = np.sqrt((x * x).sum(axis=1) / TURNS)
+            fit = np.abs(x).sum(axis=1) / np.sqrt(dim) / TURNS / np.where(norm > 0, norm, 1)
             code = np.packbits(x > 0, axis=1)
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array([c.tobytes() for c in code], pa.binary()), pa.array(norm), pa.array(np.where(norm > 0, fit, 1.0))],
@@ -75,20 +83,17 @@ def encode(rows: DataFrame, dim: int, center: np.ndarray) -> DataFrame:
 
 
 def dot(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Row-wise inner products, summed dimension by dimension so that equal rows get equal sums."""
-    out = np.zeros(len(x))
-    for d in range(x.shape[1]):
-        out += x[:, d] * y[:, d]
-    return out
+    """Row-wise inner products, summed from the first dimension to the last, so that equal rows get equal sums."""
+    return np.add.accumulate(x * y, axis=1)[:, -1] if x.shape[1] and len(x) else np.zeros(len(x))
 
 
 class _Best:
     """The ``k`` nearest so far of each query; ties to the smaller id."""
 
-    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int) -> None:
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int, least: np.ndarray | None = None) -> None:
         self.ids, self.queries, self.k = ids, queries, k
         self.q, self.v, self.s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        self.least = np.full(len(ids), -np.inf)
+        self.least = np.full(len(ids), -np.inf) if least is None else least.copy()
 
     def add(self, q: np.ndarray, row: np.ndarray, vec_ids: np.ndarray, vectors: np.ndarray) -> None:
         other = vec_ids[row] != self.ids[q]
@@ -104,44 +109,55 @@ class _Best:
         keep = place < self.k
         self.q, self.v, self.s = q[keep], v[keep], s[keep]
         last = place[keep] == self.k - 1
-        self.least[self.q[last]] = self.s[last]
+        self.least[self.q[last]] = np.maximum(self.least[self.q[last]], self.s[last])
 
 
-def _search(query_ids: np.ndarray, queries: np.ndarray, center: np.ndarray, k: int, epsilon: float):
+def _search(query_ids: np.ndarray, queries: np.ndarray, least: np.ndarray, center: np.ndarray, k: int, epsilon: float):
     dim = queries.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turned = (queries @ rotation(dim).T).astype(np.float32)
-        base = queries @ center
-        length = np.sqrt((queries * queries).sum(axis=1)).astype(np.float32)
-        best = _Best(query_ids, queries, k)
+        # one product gives estimate plus bound: the code's part, the centroid's, and the error's
+        length = np.sqrt((queries * queries).sum(axis=1))
+        left = np.concatenate((queries @ rotation(dim).T, (queries @ center)[:, None], length[:, None]), axis=1).astype(np.float32)
+        best = _Best(query_ids, queries, k, least)
         for b in batches:
             ids, x = np.asarray(b.column(0)), _matrix(b.column(1), dim)
             bits = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(len(ids), -1)
             norm, fit = np.asarray(b.column(3)), np.asarray(b.column(4))
-            wide = norm * np.sqrt(np.maximum(0, 1 - fit * fit)) / fit * (epsilon / np.sqrt(max(1, dim - 1)))
+            wide = norm * np.sqrt(np.maximum(0, 1 - fit * fit)) / fit * (epsilon / np.sqrt(max(1, TURNS * dim - 1)))
+            scale = norm / fit / np.sqrt(dim) / TURNS
             for lo in range(0, len(ids), ROW_BLOCK):
                 at = slice(lo, lo + ROW_BLOCK)
-                signs = np.unpackbits(bits[at], axis=1, count=dim).astype(np.float32) * 2 - 1
-                scale = (norm[at] / fit[at] / np.sqrt(dim)).astype(np.float32)
-                guess = turned @ (signs * scale[:, None]).T  # query x row
-                guess += base[:, None].astype(np.float32)
-                if np.isinf(best.least).any():  # a first set by the estimates alone
-                    n = min(k + 1, guess.shape[1])
-                    top = np.argpartition(-guess, n - 1, axis=1)[:, :n]
-                    best.add(np.repeat(np.arange(len(guess)), n), top.ravel(), ids[at], x[at])
-                guess += wide[at].astype(np.float32) * length[:, None]
-                guess += 1e-4 * np.abs(guess)  # single precision
-                q, row = np.nonzero(guess >= best.least[:, None])
-                if len(q):
-                    for cut in range(0, len(q), 1 << 18):
-                        best.add(q[cut : cut + (1 << 18)], row[cut : cut + (1 << 18)], ids[at], x[at])
+                signs = np.unpackbits(bits[at], axis=1, count=TURNS * dim).astype(np.float32) * 2 - 1
+                right = np.concatenate((signs * scale[at, None], np.ones((len(signs), 1)), wide[at, None]), axis=1).astype(np.float32)
+                top = left @ right.T  # query x row
+                if np.isinf(best.least).any():
+                    n = min(k + 1, top.shape[1])
+                    some = np.argpartition(-top, n - 1, axis=1)[:, :n]
+                    best.add(np.repeat(np.arange(len(top)), n), some.ravel(), ids[at], x[at])
+                slack = 1e-5 * (np.abs(best.least) + length * float(np.sqrt((x[at] * x[at]).sum(axis=1)).max()))
+                need = np.where(np.isinf(best.least), -np.inf, best.least - np.where(np.isinf(slack), 0, slack)).astype(np.float32)
+                q, row = np.divmod(np.flatnonzero(top >= need[:, None]), top.shape[1])
+                for cut in range(0, len(q), 1 << 16):
+                    best.add(q[cut : cut + (1 << 16)], row[cut : cut + (1 << 16)], ids[at], x[at])
         if len(best.q):
             yield pa.RecordBatch.from_arrays([pa.array(query_ids[best.q]), pa.array(best.v), pa.array(best.s)], names=["query_id", "vec_id", "score"])
 
     return run
 
 
+def _first_thresholds(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """Each query's ``k``-th best score in a sample of rows, a little lowered for rounding; -inf if it has fewer."""
+    out = np.full(len(queries), -np.inf)
+    for lo in range(0, len(queries), 1024):
+        at = slice(lo, lo + 1024)
+        s = queries[at] @ x.T
+        s[query_ids[at][:, None] == ids[None, :]] = -np.inf
+        if s.shape[1] >= k:
+            out[at] = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+    return np.where(np.isfinite(out), out - 1e-9 * np.abs(out), -np.inf)
+
+
 def search(vectors: DataFrame, modulus: int = 20, k: int = K, epsilon: float = EPSILON, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Each query's ``k`` nearest by inner product: query_id, rank, vec_id, score.
 
@@ -173,6 +189,8 @@ def search(vectors: DataFrame, modulus: int = 20, k: int = K, epsilon: float = E
     blocks = -(-n // QUERY_BLOCK)
     if not blocks:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    drawn = codes.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
+    known = drawn["vec_id"].to_numpy(), np.stack(drawn["v"].to_numpy())
     cuts = asked.agg(F.percentile("vec_id", [i / blocks for i in range(1, blocks)]).alias("q")).first()["q"] if blocks > 1 else []
     found = None
     for lo, hi in zip([None, *cuts], [*cuts, None]):
@@ -180,7 +198,8 @@ def search(vectors: DataFrame, modulus: int = 20, k: int = K, epsilon: float = E
         part = (part if hi is None else part.where(F.col("vec_id") <= hi)).toPandas()
         if not len(part):
             continue
-        got = codes.mapInArrow(_search(part["vec_id"].to_numpy(), np.stack(part["v"].to_numpy()), center, k, epsilon), schema)
+        ids, x = part["vec_id"].to_numpy(), np.stack(part["v"].to_numpy())
+        got = codes.mapInArrow(_search(ids, x, _first_thresholds(ids, x, *known, k), center, k, epsilon), schema)
         found = got if found is None else found.unionAll(got)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
