@@ -41,13 +41,22 @@ _BYTES = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256
 
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of unsigned 32-bit ranks."""
-    size = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
+    more = (ranks > 0xFF).astype(np.uint8)
+    for most in (0xFFFF, 0xFFFFFF):
+        more += ranks > most
     padded = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
-    padded[: len(ranks)] = size - 1
+    padded[: len(ranks)] = more
     quad = padded.reshape(-1, 4)
     control = quad[:, 0] | quad[:, 1] << 2 | quad[:, 2] << 4 | quad[:, 3] << 6
-    raw = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return control.astype(np.uint8).tobytes(), raw[np.arange(4) < size[:, None]].tobytes()
+    start = np.cumsum(more, dtype=np.int64) + np.arange(len(ranks)) - more
+    data = np.empty(len(ranks) + int(more.sum(dtype=np.int64)), np.uint8)
+    data[start] = ranks & np.uint32(0xFF)
+    for k in (1, 2, 3):
+        at = np.flatnonzero(more >= k)
+        if not len(at):
+            break
+        data[start[at] + k] = ranks[at] >> np.uint32(8 * k) & np.uint32(0xFF)
+    return control.tobytes(), data.tobytes()
 
 
 def decode_ranks(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
@@ -61,6 +70,8 @@ def decode_ranks(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
         value = data[start].astype(np.uint32)
         for k in (1, 2, 3):
             more = np.flatnonzero(size > k)
+            if not len(more):
+                break
             value[more] |= data[start[more] + k].astype(np.uint32) << np.uint32(8 * k)
         out[lo : lo + m] = value
         at = int(stop[-1])
@@ -69,15 +80,16 @@ def decode_ranks(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
 
 def shard_bytes(doc_ids: list[int | None], parts: list[bytes]) -> bytes:
     ids = np.frombuffer(b"".join(parts), "<u4")
-    known, back, count = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.lexsort((known, -count))
-    rank = np.empty(len(known), np.uint32)
-    rank[order] = np.arange(len(known), dtype=np.uint32)
-    control, data = encode_ranks(rank[back])
+    count = np.bincount(ids)
+    known = np.flatnonzero(count)
+    known = known[np.lexsort((known, -count[known]))]
+    rank = np.zeros(len(count), np.uint32)
+    rank[known] = np.arange(len(known), dtype=np.uint32)
+    control, data = encode_ranks(rank[ids])
     lengths = np.array([len(p) // 4 for p in parts], "<u8").tobytes()
     head = np.array([len(parts), len(ids), len(known), len(lengths), len(control), len(data), 0, 0], "<u8").tobytes()
     names = np.array([d or 0 for d in doc_ids], "<i8").tobytes() + bytes(d is None for d in doc_ids)
-    return b"".join((MAGIC, head, known[order].astype("<u4").tobytes(), names, lengths, control, data))
+    return b"".join((MAGIC, head, known.astype("<u4").tobytes(), names, lengths, control, data))
 
 
 def read_shard(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
