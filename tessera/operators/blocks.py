@@ -23,9 +23,11 @@ PAIRS = "a_idx long, b_idx long, dist double"
 
 
 def side(vectors: DataFrame, name: str, key: str | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(key, <name>_idx, v).  Null ids and vectors are left out."""
+    """(key, <name>_idx, v).  Null ids and vectors are left out.  Single-precision vectors are moved as such; kernels compute in double."""
     k = F.lit(0).cast("long") if key is None else F.col(key).cast("long")
-    out = vectors.select(k.alias("key"), F.col(id_col).cast("long").alias(f"{name}_idx"), F.col(vec_col).cast("array<double>").alias("v"))
+    narrow = vectors.schema[vec_col].dataType.simpleString() == "array<float>"
+    v = F.col(vec_col) if narrow else F.col(vec_col).cast("array<double>")
+    out = vectors.select(k.alias("key"), F.col(id_col).cast("long").alias(f"{name}_idx"), v.alias("v"))
     return out.where(F.col(f"{name}_idx").isNotNull() & F.col("v").isNotNull())
 
 
@@ -120,7 +122,7 @@ def _table(ids_a: np.ndarray, ids_b: np.ndarray, dist: np.ndarray) -> pa.Table:
 def _matrix(t: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
     ids = t.column(name).to_numpy()
     flat = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return ids, flat.reshape(len(ids), -1)
+    return ids, flat.reshape(len(ids), -1).astype(np.float64)
 
 
 def block_join(a: DataFrame, b: DataFrame, kernel: Kernel, rows_per_block: int = ROWS_PER_BLOCK, triangle: bool = False, self_join: bool = False) -> DataFrame:
