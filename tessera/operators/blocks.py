@@ -24,10 +24,10 @@ PAIRS = "a_idx long, b_idx long, dist double"
 
 def side(vectors: DataFrame, name: str, key: str | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(key, <name>_idx, v).  Null ids and vectors are left out.  Single-precision vectors are moved as such; kernels compute in double."""
-    k = F.lit(0).cast("long") if key is None else F.col(key).cast("long")
+    k = F.lit(0).cast("long").alias("key", metadata={"one": True}) if key is None else F.col(key).cast("long").alias("key")
     narrow = vectors.schema[vec_col].dataType.simpleString() == "array<float>"
     v = F.col(vec_col) if narrow else F.col(vec_col).cast("array<double>")
-    out = vectors.select(k.alias("key"), F.col(id_col).cast("long").alias(f"{name}_idx"), v.alias("v"))
+    out = vectors.select(k, F.col(id_col).cast("long").alias(f"{name}_idx"), v.alias("v"))
     return out.where(F.col(f"{name}_idx").isNotNull() & F.col("v").isNotNull())
 
 
@@ -131,12 +131,20 @@ def block_join(a: DataFrame, b: DataFrame, kernel: Kernel, rows_per_block: int =
     ``triangle``: both sides are the same rows under one key; each pair of blocks meets once.
     ``self_join``: pairs are given as a_idx > b_idx and none with itself.
     """
-    na = a.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / rows_per_block).cast("int").alias("na"))
-    nb = na.withColumnRenamed("na", "nb") if triangle else b.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / rows_per_block).cast("int").alias("nb"))
-    sizes = na.join(nb, "key")
+    blocks_of = lambda n: F.ceil(n / rows_per_block).cast("int")
+    if a.schema["key"].metadata.get("one") and b.schema["key"].metadata.get("one"):
+        # one key: a count a side, and no join that would be one on a constant
+        n = a.count()
+        m = n if triangle else b.count()
+        left, right = (df.withColumn("na", blocks_of(F.lit(max(1, n)))).withColumn("nb", blocks_of(F.lit(max(1, m)))) for df in (a, b))
+    else:
+        na = a.groupBy("key").agg(blocks_of(F.count(F.lit(1))).alias("na"))
+        nb = na.withColumnRenamed("na", "nb") if triangle else b.groupBy("key").agg(blocks_of(F.count(F.lit(1))).alias("nb"))
+        sizes = na.join(nb, "key")
+        left, right = a.join(sizes, "key"), b.join(sizes, "key")
     block = lambda name, n: F.pmod(F.xxhash64(f"{name}_idx"), F.col(n)).cast("int")
-    left = a.join(sizes, "key").withColumn("i", block("a", "na"))
-    right = b.join(sizes, "key").withColumn("j", block("b", "nb"))
+    left = left.withColumn("i", block("a", "na"))
+    right = right.withColumn("j", block("b", "nb"))
     left = left.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("i") if triangle else F.col("nb") - 1)))
     right = right.withColumn("i", F.explode(F.sequence(F.col("j") if triangle else F.lit(0), F.col("na") - 1)))
 
