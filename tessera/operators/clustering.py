@@ -31,9 +31,8 @@ def sample_size(rows: int, n_clusters: int, fraction: float) -> int:
 
 
 def shuffled(vectors: DataFrame, seed: int = 42) -> DataFrame:
-    """Rows in a seeded order, with their place in it as ``position``."""
-    w = Window.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id")
-    return vectors.withColumn("position", F.row_number().over(w) - 1)
+    """Rows in a seeded order (a distributed sort by hash): the same on every run, however the input is partitioned."""
+    return vectors.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id")
 
 
 def fit_kmeans(vectors: DataFrame, n_clusters: int, fraction: float = 1.0, seed: int = 42, max_iter: int = 20) -> DataFrame:

@@ -154,6 +154,21 @@ def read_statistics(spark: SparkSession, path: str) -> list[dict[str, Any]]:
     return json.loads(read_text(spark, path))
 
 
+def statistics_table(spark: SparkSession, pattern: str, layout: str = r"/([^/]+)/[^/]+/statistics\.json$") -> DataFrame:
+    """(dataset, method, recall) of the statistics files of a glob, for ``collect_runs``; the dataset comes from the path."""
+    rows = spark.read.schema("method string, recall double").option("multiLine", True).json(pattern)
+    return rows.select(path_part(F.input_file_name(), layout).alias("dataset"), "method", "recall")
+
+
+def report(statistics: list[dict[str, Any]]) -> str:
+    """A plain text table of run statistics, for consoles."""
+    columns = ["method", "time_s", "pair_count", "recall", "min_degree", "max_degree", "mean_degree", "std_degree"]
+    cell = lambda v: "" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v)
+    lines = [columns, *[[cell(s.get(c)) for c in columns] for s in statistics]]
+    wide = [max(len(x[i]) for x in lines) for i in range(len(columns))]
+    return "\n".join("  ".join(v.ljust(w) if i == 0 else v.rjust(w) for i, (v, w) in enumerate(zip(x, wide))) for x in lines)
+
+
 def write_sweep(summary: DataFrame, path: str) -> None:
     """One CSV file (a row for each point of a sweep) with a header; absent values are blank."""
     have = [F.col(c) if c in summary.columns else F.lit(None).cast("string").alias(c) for c in SWEEP_COLUMNS]

@@ -198,7 +198,9 @@ def test_samples_and_fits(spark, x):
     one = [r.vec_id for r in clustering.sample_exact(f, 30).collect()]
     assert len(set(one)) == 30 and one == [r.vec_id for r in clustering.sample_exact(f.repartition(5), 30).collect()]
     assert clustering.sample_exact(f, 500).count() == len(x)
-    assert sorted(r.position for r in clustering.shuffled(f).collect()) == list(range(len(x)))
+    order = [r.vec_id for r in clustering.shuffled(f).collect()]
+    assert sorted(order) == list(range(len(x))) != order == [r.vec_id for r in clustering.shuffled(f.repartition(7)).collect()]
+    assert order != [r.vec_id for r in clustering.shuffled(f, 1).collect()]
     assert clustering.fit_kmeans(f, 5).count() == 5 and clustering.fit_kmeans(f, 1).count() == 1
     assert clustering.fit_kmeans(f.limit(0), 5).count() == 0 and clustering.fit_kmeans(f.limit(3), 10).count() <= 3
 

@@ -145,6 +145,21 @@ def test_store_and_sweep(spark, vectors, tmp_path):
     assert sweep.time_split(got).count() == 7 and sweep.centroid_points(back).count() == 2 and sweep.by_value(back, "n_probes").count() == 3
 
 
+def test_runs_of_several_datasets(spark, tmp_path):
+    for name in ("X", "Y"):
+        for method, t in (("brute_force", 9.0), ("centroid_join", 2.0), ("other", 1.0)):
+            results.write_text(spark, f"file://{tmp_path}/{name}/10M/{method}/metadata.json", f'{{"method": "{method}",\n "time_s": {t}, "cluster_time_s": 0.5, "params": {{"threshold": 1}}}}')
+        results.write_text(spark, f"file://{tmp_path}/{name}/10M/statistics.json", '[{"method": "centroid_join", "recall": 0.75},\n {"method": "brute_force"}]')
+    stats = results.statistics_table(spark, f"file://{tmp_path}/*/10M/statistics.json")
+    got = {(r.dataset, r.method): (r.recall, r.join_time_s) for r in results.collect_runs(spark, f"file://{tmp_path}/*/10M/*/metadata.json", stats).collect()}
+    assert got == {(d, m): v for d in ("X", "Y") for m, v in (("brute_force", (1.0, 8.5)), ("centroid_join", (0.75, 1.5)), ("other", (None, 0.5)))}
+
+
+def test_report():
+    text = results.report([{"method": "a", "time_s": 1.23456, "pair_count": 7, "recall": None}])
+    assert text.splitlines()[1].split() == ["a", "1.235", "7"]
+
+
 def test_pareto(spark):
     rows = [("a", "m", 1.0, 9.0), ("b", "m", 0.9, 5.0), ("c", "m", 0.8, 5.0), ("d", "m", 0.7, 6.0), ("e", "m", 0.6, 1.0), ("f", "n", 0.1, 7.0), ("g", "m", None, 0.1), ("h", "m", 0.9, 8.0)]
     df = spark.createDataFrame(rows, "method_name string, base_method string, recall double, time_s double")
