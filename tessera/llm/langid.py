@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import fold, hash_share, small_batches
 
-BINS = 1 << 14
+BINS = 1 << 14  # at most 1 << 16
 NGRAMS = (2, 3, 4)
 #: Bound of the labelled sample: about so many texts a language, those of least hash of id and text.
 SAMPLE_PER_LANGUAGE = 500
@@ -38,7 +38,8 @@ _CHUNK = 1 << 22
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    first = _LETTER.search(text) if text else None  # a letter, or a number that is no digit
+    return first is not None and (first[0].isalpha() or any(map(str.isalpha, text)))
 
 
 def counts(text: str) -> np.ndarray:
@@ -106,9 +107,9 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in b.column(1).to_pylist():
             c = counts(text)
             i = np.flatnonzero(c)
-            at.append(i.astype(np.int32))
-            n.append(np.minimum(c[i], 1 << 30).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int32()))], names=["lang", "at", "n"])
+            at.append(i.astype(np.uint16).tobytes())
+            n.append(np.minimum(c[i], 0xFFFFFFFF).astype(np.uint32).tobytes())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at, pa.binary()), pa.array(n, pa.binary())], names=["lang", "at", "n"])
 
 
 def fit(docs: DataFrame, learn: Column, per_language: int = SAMPLE_PER_LANGUAGE, centroids: int = CENTROIDS) -> LanguageModel:
@@ -121,21 +122,23 @@ def fit(docs: DataFrame, learn: Column, per_language: int = SAMPLE_PER_LANGUAGE,
         within = within | ((F.col("lang") == lang) & hash_share(h, per_language / n))
     # equal rows share a hash; each counts once
     sample = rows.where(within).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).dropDuplicates()
-    got = sample.mapInArrow(_features, "lang string, at array<int>, n array<int>").toPandas()
-    if not len(got):
+    table = sample.mapInArrow(_features, "lang string, at binary, n binary").toArrow()
+    got = sorted(zip(table.column("lang").to_pylist(), table.column("at").to_pylist(), table.column("n").to_pylist()))
+    del table
+    if not got:
         return LanguageModel([], np.ones(BINS, np.float32), np.zeros((0, BINS), np.float32), np.zeros(0, np.int64), np.zeros(0))
-    got = got.assign(key=[(a, bytes(np.asarray(i)), bytes(np.asarray(c))) for a, i, c in zip(got["lang"], got["at"], got["n"])]).sort_values("key", ignore_index=True)
     df = np.zeros(BINS)
-    for i in got["at"]:
-        df[i] += 1
+    for _, at, _ in got:
+        df[np.frombuffer(at, np.uint16)] += 1
     idf = (np.log((1 + len(got)) / (1 + df)) + 1).astype(np.float32)
-    names, parts, of, floors = sorted(set(got["lang"])), [], [], []
+    names, parts, of, floors = sorted({g[0] for g in got}), [], [], []
+    full = np.zeros(BINS, np.int64)
     for k, lang in enumerate(names):
-        mine = got[got["lang"] == lang]
+        mine = [g for g in got if g[0] == lang]
         x = np.zeros((len(mine), BINS), np.float32)
-        for row, (i, n) in enumerate(zip(mine["at"], mine["n"])):
-            full = np.zeros(BINS, np.int64)
-            full[i] = n
+        for row, (_, at, n) in enumerate(mine):
+            full[:] = 0
+            full[np.frombuffer(at, np.uint16)] = np.frombuffer(n, np.uint32)
             x[row] = weigh(full, idf)
         c = _cluster(x, centroids)
         parts.append(c)

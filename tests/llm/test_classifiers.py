@@ -110,6 +110,10 @@ def test_language_edges(spark, data):
     assert kept.count() >= docs.count() - 1
 
 
+def test_letters():
+    assert [langid.has_letter(t) for t in (None, "", "12 ½ ² _!", "½a", "é", "日", "٣")] == [False, False, False, True, True, True, False]
+
+
 def test_counts_are_those_of_all_ngrams():
     text = "Abc, déf  GH12x " * 3
     a = [c if c >= 128 or chr(c).isalpha() else 32 for c in text.lower().encode()]
