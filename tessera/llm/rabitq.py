@@ -189,16 +189,16 @@ def search(vectors: DataFrame, modulus: int = 20, k: int = K, epsilon: float = E
     blocks = -(-n // QUERY_BLOCK)
     if not blocks:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    drawn = codes.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
-    known = drawn["vec_id"].to_numpy(), np.stack(drawn["v"].to_numpy())
+    drawn = codes.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
+    known = drawn.column("vec_id").to_numpy(), _matrix(drawn.column("v").combine_chunks(), dim)
     cuts = asked.agg(F.percentile("vec_id", [i / blocks for i in range(1, blocks)]).alias("q")).first()["q"] if blocks > 1 else []
     found = None
     for lo, hi in zip([None, *cuts], [*cuts, None]):
         part = asked if lo is None else asked.where(F.col("vec_id") > lo)
-        part = (part if hi is None else part.where(F.col("vec_id") <= hi)).toPandas()
+        part = (part if hi is None else part.where(F.col("vec_id") <= hi)).toArrow()
         if not len(part):
             continue
-        ids, x = part["vec_id"].to_numpy(), np.stack(part["v"].to_numpy())
+        ids, x = part.column("vec_id").to_numpy(), _matrix(part.column("v").combine_chunks(), dim)
         got = codes.mapInArrow(_search(ids, x, _first_thresholds(ids, x, *known, k), center, k, epsilon), schema)
         found = got if found is None else found.unionAll(got)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -260,8 +260,8 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bag: set[str] = set()
             for s in _SENTENCE.findall(text or ""):
                 bag |= units(s)
-            out.append(sorted(bag))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.string()))], names=["h", "toxic", "words"])
+            out.append(" ".join(sorted(bag)))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=["h", "toxic", "words"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_label: int = SAMPLE_PER_LABEL) -> ToxicityModel:
@@ -271,12 +271,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_label: int = SAMP
     known = known.where(learn).select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"), F.xxhash64("doc_id").alias("h"))
     drawn = known.where("toxic = 1").orderBy("h", "doc_id").limit(per_label).unionAll(known.where("toxic = 0").orderBy("h", "doc_id").limit(per_label))
     rows = docs.where("text is not null").join(F.broadcast(drawn), "doc_id")  # at most 2 x per_label ids
-    got = rows.select("h", "toxic", F.col("text").cast("string").alias("text")).mapInArrow(_bags, "h long, toxic int, words array<string>").toPandas()
-    if not len(got):
-        return train([], [])
-    got = got.assign(key=[(h, len(w), "".join(w[:50])) for h, w in zip(got["h"], got["words"])]).sort_values("key")
-    return train([list(w) for w in got["words"]], got["toxic"].tolist())
-
+    got = rows.select("h", "toxic", F.col("text").cast("string").alias("text")).mapInArrow(_bags, "h long, toxic int, words string").toArrow()
+    found = sorted(zip(got.column("h").to_pylist(), got.column("toxic").to_pylist(), got.column("words").to_pylist()))
+    return train([w.split() for _, _, w in found], [t for _, t, _ in found])
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
