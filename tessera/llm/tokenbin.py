@@ -65,16 +65,17 @@ def decode_ranks(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     for lo in range(0, n, BLOCK):
         m = min(BLOCK, n - lo)
         size = _BYTES[control[lo // 4 : -(-(lo + m) // 4)]].ravel()[:m]
-        stop = np.cumsum(size, dtype=np.int64) + at
+        stop = np.cumsum(size, dtype=np.int32)
         start = stop - size
-        value = data[start].astype(np.uint32)
+        part = data[at : at + int(stop[-1])]
+        value = part[start].astype(np.uint32)
         for k in (1, 2, 3):
             more = np.flatnonzero(size > k)
             if not len(more):
                 break
-            value[more] |= data[start[more] + k].astype(np.uint32) << np.uint32(8 * k)
+            value[more] |= part[start[more] + k].astype(np.uint32) << np.uint32(8 * k)
         out[lo : lo + m] = value
-        at = int(stop[-1])
+        at += len(part)
     return out
 
 
