@@ -15,22 +15,42 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-#: Distinct words, and pieces of words, that a worker remembers; beyond it starts afresh.
-WORDS, PIECES = 1_200_000, 700_000
+#: Distinct words that a worker remembers; beyond it starts afresh.
+WORDS = 1_300_000
 #: Words longer than this are encoded but not remembered.
 LONG = 64
-#: Pieces handed to the library in one text.
+#: Words handed to the library in one text.
 _TOGETHER = 500
 
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"  # neither letters nor digits: at a word's end, one piece
 _ODD = re.compile("[\x1c-\x1fɐ-\U0010ffff]")
+#: With none of these in a text, each blank or line end stands alone and a plain split finds the chunks.
+_UNEASY = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\x85", "\xa0", "\x00")
 _CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 _WORD_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-_BYTE_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 _OPEN: dict[tuple[str, str], "Encoder"] = {}
 
 
+def chunks(text: str) -> list[str]:
+    """Words with the blank before them, and white space of other kinds by itself."""
+    for x in _UNEASY:
+        if x in text:
+            return _CHUNK.findall(text)
+    out = text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
+    if not out[0]:
+        del out[0]
+    if out and not out[-1]:
+        del out[-1]
+    return out
+
+
+def pieces(word: str) -> int:
+    """How many pieces the word kind's pre-tokenizer makes of a word that is no run of letters."""
+    core = word.rstrip(_MARKS)
+    return 2 if core.isalpha() else len(_WORD_PIECES.findall(word.lower()))
+
+
 class Encoder:
     """kind ``word``: lower-cased words without white space; kind ``byte``: byte level, lossless."""
 
@@ -41,7 +61,6 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.kind = kind
         self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
         # a token that ends a piece (word kind) or begins one (byte kind: those with a leading blank)
         self.edge = np.zeros(1 + max(vocabulary.values()), bool)
         self.edge[[i for t, i in vocabulary.items() if (t.endswith("</w>") if kind == "word" else t.startswith("\u0120"))]] = True
@@ -55,56 +74,30 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _split(self, word: str) -> list[str]:
-        """The pre-tokenizer's pieces of a word (of a word and the blank before it, for the byte kind)."""
-        if self.kind == "word":
-            word = word.lower()
-            if word.isalpha():
-                return [word]
-            core = word.rstrip(_MARKS)
-            return [core, word[len(core) :]] if core.isalpha() else _WORD_PIECES.findall(word)
-        if word[0] == " ":
-            if word[1:].isalpha():
-                return [word]
-            core = word.rstrip(_MARKS)
-            if core[1:].isalpha():
-                return [core, word[len(core) :]]
-        return _BYTE_PIECES.findall(word)
-
-    def _remember(self, pieces: list[str], ids: np.ndarray, cut: np.ndarray) -> None:
-        raw, at = ids.astype("<u4").tobytes(), (cut * 4).tolist()
-        self.pieces.update((p, raw[at[i] : at[i + 1]]) for i, p in enumerate(pieces))
-
-    def _encode_pieces(self, pieces: list[str]) -> None:
-        """Encodes new pieces, many in one text where their bounds can be told from the tokens."""
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """Encodes new words, many in one text: their bounds can be told from the edge tokens."""
+        found: dict[str, bytes] = {}
         word = self.kind == "word"
-        joined = pieces if word else [p for p in pieces if p[0] == " " and len(p) > 1]
-        rest = [] if word else [p for p in pieces if p[0] != " " or len(p) == 1]
+        joined = new if word else [p for p in new if p[0] == " " and not p.isspace()]
+        rest = [] if word else [p for p in new if p[0] != " " or p.isspace()]
         groups = [joined[i : i + _TOGETHER] for i in range(0, len(joined), _TOGETHER)]
         texts = [(" " if word else "").join(g) for g in groups]
+
+        def put(group: list[str], ids: np.ndarray, cut: np.ndarray) -> None:
+            raw, at = ids.astype("<u4").tobytes(), (cut * 4).tolist()
+            found.update(zip(group, [raw[i:j] for i, j in zip(at, at[1:])]))
+
         for group, got in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else ()):
             ids = np.array(got.ids, np.int64)
             at = np.flatnonzero(self.edge[ids])
-            if len(at) != len(group):
+            last = np.cumsum([1 if w.isalpha() else pieces(w) for w in group]) if word else np.arange(1, len(group) + 1)
+            if len(at) != last[-1]:
                 rest += group
             else:
-                self._remember(group, ids, np.concatenate(([0], at + 1)) if word else np.concatenate((at, [len(ids)])))
+                put(group, ids, np.concatenate(([0], at[last - 1] + 1)) if word else np.concatenate((at, [len(ids)])))
         if rest:
             got = self.tokenizer.encode(rest, is_pretokenized=True, add_special_tokens=False)
-            self._remember(rest, np.array(got.ids, np.int64), np.searchsorted(np.array(got.word_ids), np.arange(len(rest) + 1)))
-
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        split = [self._split(w) for w in new]
-        if len(self.pieces) > PIECES:
-            self.pieces.clear()
-        known = self.pieces
-        fresh = list({p for s in split for p in s if p not in known})
-        if fresh:
-            self._encode_pieces(fresh)
-        found = {w: known[s[0]] if len(s) == 1 else b"".join([known[p] for p in s]) for w, s in zip(new, split)}
-        for p in fresh:
-            if len(p) > LONG:
-                del known[p]
+            put(rest, np.array(got.ids, np.int64), np.searchsorted(np.array(got.word_ids), np.arange(len(rest) + 1)))
         return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -121,7 +114,7 @@ class Encoder:
             elif _ODD.search(t):
                 out[i] = self.whole(t)
             else:
-                words = t.split() if self.kind == "word" else _CHUNK.findall(t)
+                words = t.split() if self.kind == "word" else chunks(t)
                 parts = list(map(get, words))
                 missing, k = [], -1
                 try:
