@@ -12,8 +12,8 @@ before the full Hamming distance.
 
 Within a key, links are found breadth first against the fingerprints not yet
 reached, so a group of g copies yields at most g - 1 links (a spanning forest)
-and never all of its pairs; the reachability is the same.  A key with more than
-``HOT_KEY`` indexed fingerprints is dealt to several tasks as blocks against blocks.
+and never all of its pairs; the reachability is the same.  Keys with more than ``HOT_KEY``
+indexed fingerprints, and those one bit from them, are dealt to several tasks as blocks against blocks.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import saved, small_batches
+from tessera.llm.common import partitions, saved, small_batches
 from tessera.llm.components import connected_components
 
 TAU = 4
@@ -90,7 +90,15 @@ def _entries(fps: DataFrame) -> DataFrame:
         base = F.shiftleft(first, 16).bitwiseOR(F.lit(i << 40))
         out.append(F.struct(base.bitwiseOR(then).alias("key"), F.lit(True).alias("indexed")))
         out += [F.struct(base.bitwiseOR(then.bitwiseXOR(F.lit(1 << b))).alias("key"), F.lit(False).alias("indexed")) for b in range(WIDTHS[j])]
-    return fps.select("fp", F.explode(F.array(*out)).alias("e")).select("e.key", "fp", "e.indexed")
+    # a stored table comes back in few, large partitions; each row becomes some seventy
+    return fps.repartition(partitions(fps.sparkSession)).select("fp", F.explode(F.array(*out)).alias("e")).select("e.key", "fp", "e.indexed")
+
+
+def _near_keys():
+    """The key itself and those one bit away in its second segment."""
+    m, key = len(WIDTHS), F.col("key")
+    flips = [F.when(F.shiftright(key, 40) == i, F.array(key, *[key.bitwiseXOR(F.lit(1 << b)) for b in range(WIDTHS[(i + 1) % m])])) for i in range(m)]
+    return F.coalesce(*flips)
 
 
 _MASKS = np.array([((1 << w) - 1) << s for w, s in zip(WIDTHS, SHIFTS)], dtype=np.uint64)
@@ -169,8 +177,10 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(fps: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
     """Distinct ``fp`` values -> (a, b): links that connect what lies within ``TAU`` bits."""
     entries = _entries(fps)
-    counted = entries.where("indexed").groupBy("key").count().where(F.col("count") > hot_key)
-    hot = saved(counted.select("key", F.ceil(F.col("count") / hot_key).cast("int").alias("blocks")), "hot-keys")
+    # a key gathers what is indexed there, and as probes what is indexed one bit away
+    counted = saved(entries.where("indexed").groupBy("key").count().where(F.col("count") > hot_key), "hot-keys")
+    load = counted.select(F.explode(_near_keys()).alias("key"), "count").groupBy("key").agg(F.sum("count").alias("count"))
+    hot = saved(load.select("key", F.ceil(F.col("count") / hot_key).cast("int").alias("blocks")), "hot-blocks")
     if hot.isEmpty():
         dealt = entries.withColumn("g", F.col("key"))
     else:
