@@ -191,6 +191,7 @@ class FingerprintIndex:
         self.made = 0
         self.runs: list[str] = []
         self.copies: list[str] = []
+        self.passing: list[str] = []  # tables that only the next verification needs
         self._list()
 
     def _list(self) -> None:
@@ -212,6 +213,10 @@ class FingerprintIndex:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*paths)
 
+    def _saved(self, df: DataFrame, name: str) -> DataFrame:
+        self.passing.append(new_path(self.spark, name))
+        return saved(df, name, self.passing[-1])
+
     def _write_run(self, classes: DataFrame) -> str:
         path = f"{self.path}/run-{self.made:06d}"
         saved(classes.select("anchor", "s1", "s2", "first", "last").sortWithinPartitions("anchor", "s1", "s2"), "run", path)
@@ -239,14 +244,14 @@ class FingerprintIndex:
         """
         small_batches(self.spark)
         keyed = batch.where("doc_id is not null").select("doc_id", _text_hash("text").alias("th"), "text")
-        scan = saved(keyed.mapInArrow(_scan, _SCAN), "scan").where(F.col("n_words") >= WINDOW)
+        scan = self._saved(keyed.mapInArrow(_scan, _SCAN), "scan").where(F.col("n_words") >= WINDOW)
 
         before = self._read(self.copies, self._COPIES)
         first = before.unionAll(scan.select("d1", "d2", F.col("doc_id").alias("first"))).groupBy("d1", "d2").agg(F.min("first").alias("first"))
         self.copies = [f"{self.path}/copies-{self.made:06d}"]  # it holds what the earlier ones held
         first = saved(first, "copies", self.copies[0])
         rows = scan.select("doc_id", "th", "n_words", "d1", "d2").join(first, ["d1", "d2"])
-        dead = saved(rows.where("first < doc_id").select("doc_id", "th", F.lit(0).alias("lo"), (F.col("n_words") - WINDOW).cast("int").alias("hi")), "copied")
+        dead = self._saved(rows.where("first < doc_id").select("doc_id", "th", F.lit(0).alias("lo"), (F.col("n_words") - WINDOW).cast("int").alias("hi")), "copied")
 
         alive = scan.join(first, [scan.d1 == first.d1, scan.d2 == first.d2, scan.doc_id == first["first"]], "left_semi")
         entries = alive.select("doc_id", F.explode(F.arrays_zip("anchor", "s1", "s2")).alias("e")).select("e.anchor", "e.s1", "e.s2", "doc_id")
@@ -254,12 +259,12 @@ class FingerprintIndex:
         classes = self._read([run], self._RUN).withColumn("fresh", F.lit(True))
         if self.runs:  # the merge with history
             seen = classes.unionAll(self._read(self.runs, self._RUN).withColumn("fresh", F.lit(False)))
-            classes = saved(self._merge(seen, F.max("fresh").alias("fresh")), "merged")
+            classes = self._saved(self._merge(seen, F.max("fresh").alias("fresh")), "merged")
         mixed = classes.groupBy("anchor").agg(F.min("s1").alias("a"), F.max("s1").alias("z"), F.max("fresh").alias("fresh")).where("a <> z and fresh").select("anchor")
         again = entries.select("s1", "s2", "doc_id").join(classes.where("first < last and fresh").select("s1", "s2", "first"), ["s1", "s2"]).where("first < doc_id")
         verify = classes.select("anchor", "s1", "first").join(mixed, "anchor", "left_semi")
         hits = again.select("doc_id", "s1", F.lit(True).alias("whole")).unionAll(verify.select(F.col("first").alias("doc_id"), "s1", F.lit(False).alias("whole")))
-        hits = saved(hits, "hits")
+        hits = self._saved(hits, "hits")
 
         self.runs.append(run)
         if len(self.runs) > self.fan_out:
@@ -268,16 +273,23 @@ class FingerprintIndex:
         return hits, dead
 
     def verify(self, texts: DataFrame, hits: DataFrame, dead: DataFrame) -> DataFrame:
-        """``texts`` (doc_id, text) of all documents that ``hits`` names -> (doc_id, th, ranges) of windows to remove."""
+        """``texts`` (doc_id, text) of all documents that ``hits`` names -> (doc_id, th, ranges) of windows to remove.
+
+        ``hits`` and ``dead`` (of this object's batches, or stored by the caller) are used up: their tables are deleted.
+        """
         small_batches(self.spark)
+        release(self.spark)
         keyed = texts.where("doc_id is not null").select("doc_id", _text_hash("text").alias("th"), "text")
         mine = hits.groupBy("doc_id").agg(F.collect_set(F.struct("s1", "whole")).alias("hits"))
-        marks = saved(keyed.join(mine, "doc_id").select("doc_id", "th", "text", "hits").mapInArrow(_mark, _MARKS), "marks")
+        marks = self._saved(keyed.join(mine, "doc_id").select("doc_id", "th", "text", "hits").mapInArrow(_mark, _MARKS), "marks")
         windows = marks.where("not whole")
         known = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
         repeats = windows.join(known.select("h1", "h2", "first"), ["h1", "h2"]).where("first < doc_id")
         gone = marks.where("whole").select("doc_id", "th", "lo", "hi").unionAll(repeats.select("doc_id", "th", "lo", "hi")).unionAll(dead)
         out = saved(gone.groupBy("doc_id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")), "ranges")
+        for path in self.passing:
+            delete_path(self.spark, path)
+        self.passing = []
         release(self.spark)
         return out
 
@@ -336,6 +348,7 @@ def deduplicate(docs: DataFrame, batches: int = 2, id_col: str = "doc_id", text_
     for h, d in found[1:]:
         hits, dead = hits.unionAll(h), dead.unionAll(d)
     gone = index.verify(src, hits, dead)
+    delete_path(spark, index.path)  # an index of this table alone
     gone = gone.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "ranges").withColumnRenamed("ranges", "_ranges")
     joined = docs.join(gone, [F.col(id_col).cast("long") == F.col("_id"), _text_hash(text_col) == F.col("_th")], "left")
     joined = joined.select(*docs.columns, "_ranges")
