@@ -15,8 +15,8 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-#: Distinct words that a worker remembers; beyond it starts afresh.
-WORDS = 1_300_000
+#: Distinct words that a worker remembers, by kind (some 200 bytes each); beyond it starts afresh.
+WORDS = {"word": 700_000, "byte": 1_300_000}
 #: Words longer than this are encoded but not remembered.
 LONG = 64
 #: Words handed to the library in one text.
@@ -103,7 +103,7 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers; a null text has none."""
         out: list[bytes | None] = [None] * len(texts)
-        if len(self.words) > WORDS:
+        if len(self.words) > WORDS[self.kind]:
             self.words.clear()
         get = self.words.get
         wait: list[tuple[int, list[str], list[bytes | None], list[int]]] = []
