@@ -13,7 +13,8 @@ before the full Hamming distance.
 Within a key, links are found breadth first against the fingerprints not yet
 reached, so a group of g copies yields at most g - 1 links (a spanning forest)
 and never all of its pairs; the reachability is the same.  Keys with more than ``HOT_KEY``
-indexed fingerprints, and those one bit from them, are dealt to several tasks as blocks against blocks.
+indexed fingerprints, and those one bit from them, are dealt to several tasks: each block of indexed ones
+meets each block of indexed ones and of probes.
 """
 
 from __future__ import annotations
@@ -186,11 +187,18 @@ def links(fps: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
     else:
         all_ = entries.join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-        dealt = all_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn(
-            "g",
-            F.when(F.col("blocks") == 1, F.col("key")).otherwise(
-                F.xxhash64("key", F.when(F.col("indexed"), own).otherwise(F.col("other")), F.when(F.col("indexed"), F.col("other")).otherwise(own))
-            ),
+        # group (row, column): indexed entries go to all columns of their row, probes to all rows of their column;
+        # indexed entries also go to their column in the rows before their own, so that each block of them meets each other once
+        sides = F.when(F.col("indexed") & (F.col("other") < own), F.array(F.lit(False), F.lit(True))).otherwise(F.array(~F.col("indexed")))
+        dealt = (
+            all_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .withColumn("side", F.explode(sides))
+            .withColumn(
+                "g",
+                F.when(F.col("blocks") == 1, F.col("key")).otherwise(
+                    F.xxhash64("key", F.when(F.col("side"), F.col("other")).otherwise(own), F.when(F.col("side"), own).otherwise(F.col("other")))
+                ),
+            )
         )
     grouped = dealt.select("g", "key", "fp", "indexed").repartition("g").sortWithinPartitions("g", "key")
     return grouped.mapInArrow(_search, "a long, b long").distinct()

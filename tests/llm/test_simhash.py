@@ -73,6 +73,21 @@ def test_links_reach_what_all_pairs_reach(spark, hot):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_hot_keys_link_indexed_fingerprints_of_any_block(spark):
+    """Two bits of segment 2: all viable starts have an equal next segment, and all their keys are hot."""
+    rng = random.Random(5)
+    want, fps = [], []
+    for _ in range(12):
+        base, x = rng.getrandbits(64) & ~(0x1FFF << simhash.SHIFTS[2]), rng.getrandbits(13)
+        y = x ^ 1 ^ (1 << rng.randint(1, 12))
+        far = [v for v in range(1 << 13) if (v ^ x).bit_count() > 4 and (v ^ y).bit_count() > 4]
+        want.append({base | x << simhash.SHIFTS[2], base | y << simhash.SHIFTS[2]})
+        fps += [*want[-1], *(base | v << simhash.SHIFTS[2] for v in rng.sample(far, 60))]
+    found = simhash.links(spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long"), 8)
+    pairs = [{r.a & (2**64 - 1), r.b & (2**64 - 1)} for r in found.collect()]
+    assert [w for w in want if w not in pairs] == []
+
+
 def test_rows(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
