@@ -1,14 +1,17 @@
 """Benchmark decontamination: BM25 with block-max WAND over an inverted index of the test items.
 
-Every document is read whole, in passages of ``PASSAGE`` words that overlap by half.  A passage is a
-query against the index of test items.  Score bounds prune block by block: the sum of the greatest impacts
+Every document is read whole, in passages that overlap by half: of ``PASSAGE`` words for items of up to as many,
+of twice as many for items of up to twice as many, and so on.  So two neighbouring passages hold any copy of an item,
+and one of them at least half of its score, however long it is.  A passage is a
+query against the index of test items of its length.  Score bounds prune block by block: the sum of the greatest impacts
 of its words on any item of the block, first with repeated words counted each time, then - for passages
 still in question - once.  Only items of blocks whose bound reaches the threshold are scored.  The threshold is a share of the score that an item's own text
 reaches, so all items above it are retrieved, however many.
 
 A retrieved item is then verified on the document's words: its question part (all but the
 last ``ANSWER`` words) and its answer part (those words) must both be found in the order of the
-item - by longest common runs of ``GRAM`` words - to the shares ``QUESTION_SHARE`` and ``ANSWER_SHARE``.
+item - by longest common runs of ``GRAM`` words - to the shares ``QUESTION_SHARE`` and ``ANSWER_SHARE``,
+in the passage and as many words before and after it.
 
 The test items are sent to the executors in blocks of at most ``ITEMS`` items, so what
 is broadcast stays bounded however large the benchmark is.
@@ -17,6 +20,7 @@ is broadcast stays bounded however large the benchmark is.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -47,8 +51,16 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+def passage_of(n: int) -> int:
+    """Words of the passages in which items of ``n`` words are looked for."""
+    size = PASSAGE
+    while size < n:
+        size *= 2
+    return size
+
+
 class ItemIndex:
-    """Inverted index of items in order of self score, cut into shards of ``SHARD`` items and blocks of ``BLOCK`` and ``FINE``.
+    """Inverted index of items in order of passage length and self score, cut for each length into shards of ``SHARD`` items and blocks of ``BLOCK`` and ``FINE``.
 
     A shard keeps each term's greatest impact in each of its blocks as small dense tables, so the
     bounds of all passages of a batch are one gather and one segmented sum.
@@ -67,7 +79,7 @@ class ItemIndex:
             base = K1 * (1 - B + B * len(ws) / mean)
             return {w: idf[w] * c * (K1 + 1) / (c + base) for w, c in Counter(ws).items()}
 
-        rows = sorted(((sum(x.values()), i, ws, x) for i, ws, x in ((i, ws, impacts(ws)) for i, ws in tokens)), key=lambda r: (r[0], r[1]))
+        rows = sorted(((sum(x.values()), i, ws, x) for i, ws, x in ((i, ws, impacts(ws)) for i, ws in tokens)), key=lambda r: (passage_of(len(r[2])), r[0], r[1]))
         self.ids = [r[1] for r in rows]
         self.words = [r[2] for r in rows]
         self.grams = [self._grams(ws) for ws in self.words]
@@ -76,18 +88,25 @@ class ItemIndex:
         for at, r in enumerate(rows):
             for w, x in r[3].items():
                 self.postings[self.terms[w]].append((at, x))
-        self.shards = []
-        for lo in range(0, n, SHARD):
-            hi = min(n, lo + SHARD)
-            tables = []
-            for size in (BLOCK, FINE):
-                table = np.zeros((len(self.terms) + 1, -(-(hi - lo) // size)), np.float32)
-                for t, p in enumerate(self.postings):
-                    for at, x in p:
-                        if lo <= at < hi:
-                            table[t, (at - lo) // size] = max(table[t, (at - lo) // size], x)
-                tables += [table, self.need[lo:hi:size].astype(np.float32)]
-            self.shards.append((lo, *tables))
+        sizes = [passage_of(len(ws)) for ws in self.words]
+        self.levels: list[tuple[int, list[tuple]]] = []  # words of a passage, shards of the items looked for in it
+        for passage in sorted(set(sizes)):
+            first, end = bisect_left(sizes, passage), bisect_right(sizes, passage)
+            shards = []
+            for lo in range(first, end, SHARD):
+                hi = min(end, lo + SHARD)
+                tables = []
+                for size in (BLOCK, FINE):
+                    table = np.zeros((len(self.terms) + 1, -(-(hi - lo) // size)), np.float32)
+                    for t, p in enumerate(self.postings):
+                        for at, x in p:
+                            if lo <= at < hi:
+                                table[t, (at - lo) // size] = max(table[t, (at - lo) // size], x)
+                    # sums of single precision may fall short by their rounding
+                    least = self.need[lo:hi:size] * (1 - 1.2e-7 * passage) - 1e-3
+                    tables += [table, least.astype(np.float32)]
+                shards.append((lo, *tables))
+            self.levels.append((passage, shards))
 
     @staticmethod
     def _grams(ws: list[str]) -> tuple[list[tuple], list[tuple]]:
@@ -137,32 +156,37 @@ class ItemIndex:
         return self.find_all([text])[0]
 
     def _search(self, held: list[tuple[int, list[str], np.ndarray]], found: list[set[int]]) -> None:
-        none = len(self.terms)
         held = [h for h in held if len(h[2])]
         if not held:
             return
         codes = np.concatenate([h[2] for h in held])
         sizes = np.array([len(h[2]) for h in held])
         base = np.cumsum(sizes) - sizes
-        parts = -(-sizes // STEP)  # a passage is two neighbouring steps
+        for passage, shards in self.levels:
+            self._search_passages(held, found, codes, base, sizes, passage, shards)
+
+    def _search_passages(self, held, found, codes, base, sizes, passage, shards) -> None:
+        stride = passage // 2
+        parts = -(-sizes // stride)  # a passage is two neighbouring steps
         part_of = np.repeat(np.arange(len(held)), parts)
         first = np.cumsum(parts) - parts
         place = np.arange(len(part_of)) - first[part_of]
-        start = base[part_of] + place * STEP
+        start = base[part_of] + place * stride
         last = place == parts[part_of] - 1
         lead = np.flatnonzero(~last | (place == 0))  # a step that begins a passage
         follow = np.where(last[lead], lead, lead + 1)
-        stop = np.minimum(start + PASSAGE, base[part_of] + sizes[part_of])
-        for lo, table, need, fine, fine_need in self.shards:
+        stop = np.minimum(start + passage, base[part_of] + sizes[part_of])
+        few = max(1, 512 * PASSAGE // passage)
+        for lo, table, need, fine, fine_need in shards:
             # a term that a passage repeats counts each time, so this first bound is generous, never short
             step = np.add.reduceat(table[codes], start, axis=0)
             rough = step[lead]
             rough[follow != lead] += step[follow[follow != lead]]
-            some = lead[(rough >= need - 1e-3).any(axis=1)]
-            for cut in range(0, len(some), 512):
-                self._confirm(held, found, codes, base, part_of, start, stop, some[cut : cut + 512], lo, fine, fine_need)
+            some = lead[(rough >= need).any(axis=1)]
+            for cut in range(0, len(some), few):
+                self._confirm(held, found, codes, base, part_of, start, stop, some[cut : cut + few], passage, lo, fine, fine_need)
 
-    def _confirm(self, held, found, codes, base, part_of, start, stop, some, lo, fine, need) -> None:
+    def _confirm(self, held, found, codes, base, part_of, start, stop, some, passage, lo, fine, need) -> None:
         """Passages still in question: bounds of their distinct terms on small blocks, then scores, then the words themselves."""
         none = len(self.terms)
         n = stop[some] - start[some]
@@ -174,7 +198,7 @@ class ItemIndex:
         full = np.flatnonzero(edge[1:] > edge[:-1])
         if not len(full):
             return
-        alive = np.add.reduceat(fine[terms], edge[:-1][full], axis=0) >= need - 1e-3
+        alive = np.add.reduceat(fine[terms], edge[:-1][full], axis=0) >= need
         for k in np.flatnonzero(alive.any(axis=1)).tolist():
             p = int(full[k])
             doc = part_of[some[p]]
@@ -183,7 +207,7 @@ class ItemIndex:
             got = [i for i in got if i not in found[row]]
             if got:
                 s, e = int(start[some[p]] - base[doc]), int(stop[some[p]] - base[doc])
-                part = ws[max(0, s - PASSAGE) : e + PASSAGE]
+                part = ws[max(0, s - passage) : e + passage]
                 seen = {tuple(part[i : i + g]) for g in range(1, GRAM + 1) for i in range(len(part) - g + 1)}
                 found[row].update(i for i in got if self.verify(i, seen))
 

@@ -52,6 +52,24 @@ def test_pruning_loses_nothing(monkeypatch):
         assert index.find_all(texts) == [brute(index, t) for t in texts]
 
 
+def test_long_items_are_found_at_any_length():
+    """Copies of whole items, and the first 65 % of the question with the answer, of lengths beyond a passage."""
+    rng = random.Random(7)
+    vocab = [f"w{i}" for i in range(3000)] + ["the", "of", "and"] * 200
+    text = lambda k: [rng.choice(vocab) for _ in range(k)]
+    sizes = [20, 96, 97, 220, 260, 300, 480, 1000, 2500]
+    items = [(i, text(n)) for i, n in enumerate(sizes)]
+    index = ItemIndex([(i, " ".join(ws)) for i, ws in items])
+    for i, ws in items:
+        for before in (0, 1, 50, 333):
+            assert index.find(" ".join([*text(before), *ws, *text(400)])) == [i], (len(ws), before)
+    for i, ws in items[5:]:
+        part = ws[: int(0.65 * len(ws))] + ws[-decontam.ANSWER :]
+        assert index.find(" ".join([*text(70), *part, *text(70)])) == [i], len(ws)
+        assert index.find(" ".join([*text(70), *ws[: len(ws) // 2], *text(70)])) == [], len(ws)
+    assert index.find(" ".join(text(5000))) == []
+
+
 def test_planted_items(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     items = spark.read.parquet(f"{data}/benchmark.parquet")
