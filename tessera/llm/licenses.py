@@ -1,6 +1,7 @@
 """Licence scan: a trained paragraph classifier, confirmed by comparison with templates.
 
-Candidates are stretches of a line dense in words of licence notices.  A sparse word n-gram
+Candidates are stretches of a line dense in words of licence notices, and what lies over several lines of a
+paragraph (lines up to one without words, comment marks stripped) and holds enough of a template.  A sparse word n-gram
 (one and two words) logistic regression, trained on perturbed templates against ordinary paragraphs
 of the corpus and scrambled licence words (class ``unknown``), names a family; its
 temperature is calibrated on paragraphs kept out of the fit.  A family counts only if its
@@ -11,7 +12,8 @@ pairs of one of that family's templates.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,12 +39,17 @@ TEMPLATES = {
     "CC0": ["This work is dedicated to the public domain under CC0 1.0 Universal.", "Released under CC0."],
     "Unlicense": ["This is free and unencumbered software released into the public domain.", "Released under the Unlicense."],
 }
+#: Words that tell a family from the plain one (first) that is worded alike: never it without, never the plain one with them.
+TELLING = {"LGPL": ("GPL", {"lesser", "lgpl"}), "AGPL": ("GPL", {"affero", "agpl"}), "CC-BY-SA": ("CC-BY", {"sa", "sharealike"}), "CC-BY-NC": ("CC-BY", {"nc", "noncommercial"})}
 UNKNOWN = "unknown"
 SURE, MATCH = 0.5, 0.6
 #: Ordinary lines drawn (by least hash of their document) to train the unknown class; a bound.
 SAMPLE_DOCS, SAMPLE_LINES = 400, 3000
 GAP, LEAST = 2, 3  # other words within a stretch, words of notices in it
 
+#: Comment marks that are words, at the start of a line.
+COMMENTS = {"dnl", "rem", "c"}
+
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -72,6 +79,11 @@ class LicenseModel:
     def __post_init__(self) -> None:
         self.known = frozenset(f for f in self.features if isinstance(f, str))
         self.templates = {k: [_pairs(line_words(t)) for t in ts] for k, ts in TEMPLATES.items()}
+        self.all = [(_pairs(ws), 2 * len(ws)) for ts in TEMPLATES.values() for ws in map(line_words, ts)]
+        self.holders = defaultdict(list)  # pair of words -> templates that hold it
+        for k, (pairs, _) in enumerate(self.all):
+            for pair in pairs:
+                self.holders[pair].append(k)
 
     def vector(self, ws: list[str]) -> np.ndarray:
         x = np.zeros(len(self.features) + 2)
@@ -90,22 +102,24 @@ class LicenseModel:
         e = np.exp(z - z.max())
         return e / e.sum()
 
-    def stretches(self, line: str) -> Iterator[list[str]]:
-        ws = line_words(line)
+    def stretches(self, ws: list[str]) -> Iterator[tuple[int, int]]:
+        """Begin and end of the stretches among the words of a line."""
         if self.signal.isdisjoint(ws):
             return
         at = [i for i, w in enumerate(ws) if w in self.known]
         lo = 0
         for i in range(1, len(at) + 1):
             if i == len(at) or at[i] - at[i - 1] > GAP + 1:
-                part = ws[at[lo] : at[i - 1] + 1]
-                if i - lo >= LEAST and not self.signal.isdisjoint(part):
-                    yield part
+                if i - lo >= LEAST and not self.signal.isdisjoint(ws[at[lo] : at[i - 1] + 1]):
+                    yield at[lo], at[i - 1] + 1
                 lo = i
 
     def classify(self, ws: list[str]) -> tuple[str, float]:
         """Family and probability; ``unknown`` unless sure and confirmed by a template."""
         p = self.probabilities(ws)
+        for name, (plain, telling) in TELLING.items():
+            p[self.families.index(name if telling.isdisjoint(ws) else plain)] = 0
+        p /= p.sum()
         have = _pairs(ws)
         for k in np.argsort(-p):
             name = self.families[k]
@@ -115,14 +129,88 @@ class LicenseModel:
                 return name, float(p[k])
         return UNKNOWN, float(p[self.families.index(UNKNOWN)])
 
+    def match(self, ws: list[str], name: str) -> tuple[int, int, int]:
+        """How many pairs of a family's best template are in ``ws``, and from where to where they lie."""
+        have = _pairs(ws)
+        best = max(self.templates[name], key=lambda t: len(t & have) / len(t))
+        at = [i for i, pair in enumerate(zip(ws, ws[1:])) if pair in best]
+        return len(best & have), at[0], at[-1] + 2
+
+    def wrapped(self, ws: list[str], line: list[int]) -> list[tuple[str, float, int, int]]:
+        """Notices over several lines among the words of a paragraph (``line`` of each): family, probability, begin, end."""
+        hits: dict[int, list[int]] = defaultdict(list)
+        for i, pair in enumerate(zip(ws, ws[1:])):
+            for k in self.holders.get(pair, ()):
+                hits[k].append(i)
+        found = []
+        for k, at in hits.items():
+            pairs, reach = self.all[k]
+            if len(at) < MATCH * len(pairs):
+                continue
+
+            def best(i: int) -> tuple[int, int] | None:
+                """From hit ``i``: the worth (pairs against length) and the end of what holds enough of the template."""
+                seen, top = set(), None
+                for h in at[i : bisect_left(at, at[i] + reach)]:
+                    seen.add((ws[h], ws[h + 1]))
+                    if len(seen) >= MATCH * len(pairs) and (top is None or 2 * len(seen) - (h - at[i]) > top[0]):
+                        top = 2 * len(seen) - (h - at[i]), h + 2
+                return top
+
+            i = 0
+            while i < len(at):
+                top = best(i)
+                if top is None:
+                    i += 1
+                    continue
+                while i + 1 < len(at) and (more := best(i + 1)) and more[0] >= top[0]:  # what stands before the notice by chance
+                    i, top = i + 1, more
+                lo, hi = at[i], top[1]
+                if line[lo] != line[hi - 1] and not self.signal.isdisjoint(ws[lo:hi]):
+                    name, p = self.classify(ws[lo:hi])
+                    if name != UNKNOWN:
+                        found.append((name, p, lo, hi, top[0]))
+                i = bisect_left(at, hi - 1)
+        out: list[tuple] = []
+        for f in sorted(found, key=lambda f: (-f[4], -f[1])):  # the best of those that overlap
+            if all(f[3] <= o[2] or o[3] <= f[2] for o in out):
+                out.append(f)
+        return [f[:4] for f in sorted(out, key=lambda f: f[2])]
+
+    def paragraph(self, lines: list[list[str]]) -> list[tuple[str, float]]:
+        if all(self.signal.isdisjoint(ws) for ws in lines):
+            return []
+        found, base = [], 0
+        for ws in lines:
+            for s, e in self.stretches(ws):
+                for lo in range(s, max(s + 1, e - 30), 30):  # a long stretch is read in overlapping parts
+                    name, p = self.classify(part := ws[lo : min(e, lo + 60)])
+                    if name != UNKNOWN:
+                        pairs, a, b = self.match(part, name)
+                        found.append((name, p, base + lo + a, base + lo + b, pairs))
+            base += len(ws)
+        if len(lines) > 1:
+            ws = [w for words in lines for w in words]
+            for name, p, lo, hi in self.wrapped(ws, [k for k, words in enumerate(lines) for _ in words]):
+                if any(f[0] == name and f[2] < hi and lo < f[3] for f in found):
+                    continue
+                pairs = self.match(ws[lo:hi], name)[0]
+                # a line that holds a part only may look like another family
+                found = [f for f in found if not (lo <= f[2] and f[3] <= hi and f[4] < pairs)]
+                found.append((name, p, lo, hi, pairs))
+        return [f[:2] for f in found]
+
     def scan(self, text: str | None) -> list[tuple[str, float]]:
-        out = []
-        for line in (text or "").split("\n"):
-            for ws in self.stretches(line):
-                for lo in range(0, max(1, len(ws) - 30), 30):  # a long stretch is read in overlapping parts
-                    found = self.classify(ws[lo : lo + 60])
-                    if found[0] != UNKNOWN:
-                        out.append(found)
+        out, held = [], []
+        for line in [*(text or "").split("\n"), ""]:
+            ws = line_words(line)
+            if ws and ws[0] in COMMENTS:
+                ws = ws[1:]
+            if ws:
+                held.append(ws)
+            elif held:
+                out += self.paragraph(held)
+                held = []
         return out
 
 

@@ -137,6 +137,39 @@ def test_licenses(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_wrapped_licenses():
+    """Headers as they stand in files, hard-wrapped and commented."""
+    model = licenses.train([licenses.line_words("Or the an of ination therly, and " + w) for w in ("thion", "reaur", "street", "was it by")])
+    gpl = """/*
+ * This program is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation; either version 2 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+ */"""
+    bsd = """# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions
+# are met:"""
+    apache = """// you may not use this file except in compliance with
+// the License. You may obtain a copy of the License at
+//
+//     http://www.apache.org/licenses/LICENSE-2.0"""
+    short = "dnl Licensed under the Apache\r\ndnl License, Version\r\ndnl 2.0"
+    names = lambda t: sorted(k for k, _ in model.scan(t))
+    assert [names(t) for t in (gpl, bsd, apache, short)] == [["GPL"], ["BSD"], ["Apache-2.0"], ["Apache-2.0"]]
+    assert names(gpl.replace("General", "Lesser General").replace("2 of", "2.1 of")) == ["LGPL"]
+    assert names(gpl.replace("General", "Affero General").replace("2 of", "3 of")) == ["AGPL"]
+    assert names(gpl.replace("General", "Lesser General").replace("2 of", "3 of")) == ["LGPL"]
+    assert names(bsd + "\n" + gpl) == ["BSD", "GPL"]
+    assert names("the thion\n" + bsd + "\nof the therly\n" + bsd) == ["BSD", "BSD"]
+    assert names("This work is licensed under CC BY-\nSA 4.0.") == ["CC-BY-SA"]
+    assert names("Released under the MIT License.\nLicensed under CC BY 4.0.") == ["CC-BY", "MIT"]
+    assert names(bsd.replace("with or without", "\n\n")) == [] and names("the license of\nan old street\nwas released by it") == []
+
+
 def test_licenses_on_the_corpus(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
     got = licenses.scan(docs).join(docs, "doc_id")
