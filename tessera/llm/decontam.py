@@ -14,7 +14,7 @@ item - by longest common runs of ``GRAM`` words - to the shares ``QUESTION_SHARE
 in the passage and as many words before and after it.
 
 The test items are sent to the executors in blocks of at most ``ITEMS`` items, so what
-is broadcast stays bounded however large the benchmark is.
+is broadcast stays bounded however large the benchmark is; document frequencies and lengths are those of all items.
 """
 
 from __future__ import annotations
@@ -66,12 +66,12 @@ class ItemIndex:
     bounds of all passages of a batch are one gather and one segmented sum.
     """
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, items: list[tuple[int, str]], stats: tuple[int, float, dict[str, int]] | None = None) -> None:
+        """``stats``: number and mean words of all items, and how many hold each word; of ``items`` alone if absent."""
         tokens = [(i, words(t)) for i, t in items]
         tokens = [(i, w) for i, w in tokens if w]
-        n = len(tokens)
-        df = Counter(w for _, ws in tokens for w in set(ws))
-        mean = sum(len(ws) for _, ws in tokens) / max(1, n)
+        own = len(tokens)
+        n, mean, df = stats or (own, sum(len(ws) for _, ws in tokens) / max(1, own), Counter(w for _, ws in tokens for w in set(ws)))
         self.terms = {w: k for k, w in enumerate(sorted(df))}
         idf = {w: float(np.log(1 + (n - c + 0.5) / (c + 0.5))) for w, c in df.items()}
 
@@ -212,17 +212,37 @@ class ItemIndex:
                 found[row].update(i for i in got if self.verify(i, seen))
 
 
-def _blocks(items: DataFrame, most: int) -> Iterator[list[tuple[int, str]]]:
-    """Items in blocks of bounded size.  Null items hold nothing; rows with a null item_id are item -1."""
+def _spoken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, text) -> (part, word, size): each item's words once, and its number of words beside a null word."""
+    for b in batches:
+        for part, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if ws := words(text):
+                own = [None, *sorted(set(ws))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part] * len(own), pa.int64()), pa.array(own, pa.string()), pa.array([len(ws)] * len(own), pa.int64())], names=["part", "word", "size"]
+                )
+
+
+def _blocks(items: DataFrame, most: int) -> Iterator[tuple[list[tuple[int, str]], tuple[int, float, dict[str, int]] | None]]:
+    """Items in blocks of bounded size, and what ``ItemIndex`` needs to know of all items.
+
+    Null items hold nothing; rows with a null item_id are item -1.
+    """
     src = items.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     n = src.count()
     if n <= most:
-        yield [(r["item_id"], r["text"]) for r in src.orderBy("item_id", "text").collect()]
+        yield [(r["item_id"], r["text"]) for r in src.orderBy("item_id", "text").collect()], None
         return
     parts = -(-n // (most // 2))
     dealt = saved(src.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))), "items")
+    spoken = saved(dealt.select("part", "text").mapInArrow(_spoken, "part long, word string, size long"), "item-words")
+    total = spoken.where("word is null").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).first()
+    df = spoken.where("word is not null").groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    known = saved(spoken.where("word is not null").select("part", "word").distinct().join(df, "word"), "item-df")
     for k in range(parts):
-        yield [(r["item_id"], r["text"]) for r in dealt.where(F.col("part") == k).orderBy("item_id", "text").collect()]
+        block = [(r["item_id"], r["text"]) for r in dealt.where(F.col("part") == k).orderBy("item_id", "text").collect()]
+        held = {r["word"]: r["df"] for r in known.where(F.col("part") == k).collect()}
+        yield block, (total["n"], total["size"] / max(1, total["n"]) if total["n"] else 0.0, held)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", out_col: str = "items", most: int = ITEMS) -> DataFrame:
@@ -241,7 +261,7 @@ def contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", out_
         had = not first
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, had=had) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(sent.value)
+            index = ItemIndex(*sent.value)
             for b in batches:
                 got = index.find_all(b.column(at).to_pylist())
                 cols = list(b.columns)

@@ -83,6 +83,20 @@ def test_planted_items(spark, data):
             assert held or not got[r.doc_id], r.doc_id
 
 
+def test_blocks_of_items_give_what_one_block_gives(spark):
+    """Copies whose score is close to the threshold: it is that of all items, however they are dealt."""
+    rng = random.Random(11)
+    items, texts = [], []
+    for i in range(30):
+        usual = rng.sample([f"w{k}" for k in range(80)], 20 + decontam.ANSWER)
+        items.append((i, " ".join([*usual[:20], *(f"rare{i}x{k}" for k in range(12)), *usual[20:]])))
+        texts.append(" ".join(usual))  # 60 % of the question, and the answer, but few of the words that score
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = spark.createDataFrame(items + [(99, "...")], "item_id long, text string")
+    whole, dealt = ({r.doc_id: r["items"] for r in decontam.contaminated(docs, table, most=most).collect()} for most in (20_000, 10))
+    assert whole == dealt and 0 < sum(map(len, whole.values())) < len(items)
+
+
 def test_edges(spark):
     items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron"), (2, None), (3, "..."), (None, "short one"), (1, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron")], "item_id long, text string")
     full = items.first().text
