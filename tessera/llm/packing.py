@@ -2,10 +2,10 @@
 
 Every partition packs its own pieces by best-fit decreasing and compares its number
 of sequences with a lower bound: the largest sum of piece lengths under the
-dual feasible functions of ``bound``.  Equal numbers prove the partition optimal.
-What lies in sequences that are not nearly full is then exchanged: partitions
-with gaps (and the last, half-empty sequence of certified ones) put those documents into
-a pool, which is dealt out anew and packed again, as long as that saves sequences.
+dual feasible functions of ``bound``.  Equal numbers certify the partition: no packing of its
+pieces has fewer sequences, and it is closed.  Partitions with a gap keep their nearly full sequences and
+exchange the documents of all others: these are dealt out anew and packed again by best-fit decreasing, as long as that saves
+sequences.  ``certify`` gives the bound of all pieces together, and so how far the whole packing can be from the best.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import saved, small_batches
+from tessera.llm.common import map_batches, saved
 from tessera.llm.tokens import Encoder
 
 CAPACITY = 4096
@@ -58,9 +58,8 @@ def _cut(path: str, kind: str, capacity: int, end_id: int):
 
 def pieces(docs: DataFrame, tokenizer: str, kind: str = "word", capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32); a null or empty text is its end token alone."""
-    small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(_cut(tokenizer, kind, capacity, end_id), _PIECES)
+    return map_batches(src, _cut(tokenizer, kind, capacity, end_id), _PIECES)
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,15 +87,14 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets, np.array(fill, np.int64)
 
 
-def bound(lengths: np.ndarray, capacity: int) -> int:
-    """Lower bound of the number of bins: the best over two families of dual feasible functions.
+def bound_of_counts(count: np.ndarray, capacity: int) -> int:
+    """Lower bound of the number of bins for ``count[n]`` pieces of each length n: the best over two families of dual feasible functions.
 
     * cut(e): pieces above ``capacity - e`` count as whole bins, those under ``e`` as nothing, others as they are;
     * step(k): a piece of share x counts floor((k+1) x) / k of a bin, or x where (k+1) x is whole.
     """
-    if not len(lengths):
+    if not count.any():
         return 0
-    count = np.bincount(lengths, minlength=capacity + 1)[: capacity + 1].astype(np.int64)
     size = np.arange(capacity + 1, dtype=np.int64)
     best = -(-int((count * size).sum()) // capacity)
     total = np.cumsum(count)
@@ -111,6 +109,10 @@ def bound(lengths: np.ndarray, capacity: int) -> int:
     return best
 
 
+def bound(lengths: np.ndarray, capacity: int) -> int:
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1)[: capacity + 1].astype(np.int64), capacity) if len(lengths) else 0
+
+
 _PACKED = _PIECES + ", part long, bin int, offset long, fill long, bins int, bound int"
 
 
@@ -146,40 +148,61 @@ def _pack(capacity: int, bundle: int):
 
 def _packed(rows: DataFrame, n: int, capacity: int, bundle: int, name: str) -> DataFrame:
     parts = max(1, -(-n // bundle))
-    return saved(rows.repartition(parts).mapInArrow(_pack(capacity, bundle), _PACKED), name)
+    return saved(map_batches(rows.repartition(parts), _pack(capacity, bundle), _PACKED), name)
 
 
 def pack(found: DataFrame, capacity: int = CAPACITY, bundle: int = BUNDLE, rounds: int = ROUNDS) -> DataFrame:
-    """``pieces`` rows -> the same with sequence_id, offset, and the bins and lower bound of the partition that packed them.
+    """``pieces`` rows -> the same with sequence_id, offset, certified, bins and bound.
 
-    Each row keeps its place even if rows repeat.  An empty table gives an empty result.
+    ``bins`` and ``bound`` are the number of sequences and its lower bound of the partition the row lies in at the end: one
+    that was certified when packed, what a partition with a gap kept, or what was left when exchanging saved nothing more.
+    ``certified``: the two are equal.  Each row keeps its place even if rows repeat.  An empty table gives an empty result.
     """
     names = [f.split()[0] for f in _PIECES.split(", ")]
-    n = found.count()
-    now = _packed(found, n, capacity, bundle, "packed-0")
-    done: list[DataFrame] = []
+    now = _packed(found, found.count(), capacity, bundle, "packed-0")
+    done: list[DataFrame] = []  # closed sequences: certified partitions, and what those with a gap keep
     for k in range(rounds):
-        tag = F.lit(k << 56)
-        sequence = tag + F.shiftleft(F.col("part"), 24) + F.col("bin")
-        row = [*names, sequence.alias("sequence_id"), "offset", "bins", "bound"]
-        open_ = F.col("fill") < int(NEARLY_FULL * capacity)
-        loose = now.where(open_)
-        before = loose.agg(F.countDistinct("part", "bin").alias("b"), F.count(F.lit(1)).alias("n")).first()
-        if k + 1 == rounds or before["b"] < 2:
-            done.append(now.select(row))
-            break
-        after = _packed(loose.select(names), before["n"], capacity, bundle, f"packed-{k + 1}")
-        if after.select("part", "bin").distinct().count() >= before["b"]:
-            done.append(now.select(row))
+        tagged = now.withColumn("sequence_id", F.lit(k << 56) + F.shiftleft(F.col("part"), 24) + F.col("bin")).withColumn("group", F.lit(k << 56) + F.shiftleft(F.col("part"), 24))
+        gap = F.col("bins") > F.col("bound")
+        loose = now.where(gap & (F.col("fill") < int(NEARLY_FULL * capacity)))
+        before = loose.agg(F.countDistinct("part", "bin").alias("b"), F.countDistinct("part").alias("p"), F.count(F.lit(1)).alias("n")).first()
+        after = None
+        if k + 1 < rounds and before["p"] > 1:
+            after = _packed(loose.select(names), before["n"], capacity, bundle, f"packed-{k + 1}")
+            if after.select("part", "bin").distinct().count() >= before["b"]:
+                after = None
+        if after is None:
+            done.append(tagged)
             break
-        done.append(now.where(~open_).select(row))
+        done.append(tagged.where(~(gap & (F.col("fill") < int(NEARLY_FULL * capacity)))))
         now = after
+    row = [*names, "sequence_id", "offset", "certified", "bins", "bound"]
+    if len(done) == 1:
+        return done[0].withColumn("certified", F.col("bins") == F.col("bound")).select(row)
     out = done[0]
     for d in done[1:]:
         out = out.unionAll(d)
-    return out
+    # what partitions kept is other than what they packed: count and bound it anew, from at most ``capacity`` numbers a partition
+    lengths = out.groupBy("group", "length").agg(F.count(F.lit(1)).alias("n"))
+    bins = out.groupBy("group").agg(F.countDistinct("sequence_id").cast("int").alias("bins"))
+
+    def least(t: pa.Table) -> pa.Table:
+        count = np.zeros(capacity + 1, np.int64)
+        np.add.at(count, t.column("length").to_numpy(), t.column("n").to_numpy())
+        return pa.table({"group": t.column("group").slice(0, 1), "bound": pa.array([bound_of_counts(count, capacity)], pa.int32())})
+
+    true = saved(bins.join(lengths.groupBy("group").applyInArrow(least, "group long, bound int"), "group"), "certificates")
+    return out.drop("bins", "bound").join(true, "group").withColumn("certified", F.col("bins") == F.col("bound")).select(row)
+
+
+def certify(packed: DataFrame, capacity: int = CAPACITY) -> dict[str, int]:
+    """sequences: how many a packing has; bound: how many any packing of all its pieces has at least.  (One row a length is read.)"""
+    count = np.zeros(capacity + 1, np.int64)
+    for r in packed.groupBy("length").count().collect():
+        count[r["length"]] = r["count"]
+    return {"sequences": packed.select("sequence_id").distinct().count(), "bound": bound_of_counts(count, capacity)}
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, kind: str = "word", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Documents to packed pieces; see ``pieces`` and ``pack``."""
+    """Documents to packed pieces; see ``pieces`` and ``pack``.  Only doc_id and text are read, so columns of any other name may be there."""
     return pack(saved(pieces(docs, tokenizer, kind, capacity, end_id), "pieces"), capacity)
