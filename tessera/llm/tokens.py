@@ -3,7 +3,8 @@
 A byte-pair encoder treats the pieces of its pre-tokenizer independently, and no
 piece spans white space but for one leading blank.  So a text's ids are the
 ids of its words in order, and words repeat.  Texts with characters on
-which Python and the library might split or fold differently go whole through the library.
+which Python and the library might split or fold differently, and those with the vocabulary's
+control strings, go whole through the library.  Ids are those of its plain call, ``add_special_tokens=False`` and nothing else.
 """
 
 from __future__ import annotations
@@ -57,7 +58,8 @@ class Encoder:
     def __init__(self, path: str, kind: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # control strings in a text are ordinary text
+        # texts with one of the vocabulary's added strings go through the library, which takes these out before all else
+        self.added = [a.content for a in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.kind = kind
         self.words: dict[str, bytes] = {}
@@ -111,7 +113,7 @@ class Encoder:
         for i, t in enumerate(texts):
             if not t:
                 out[i] = b""
-            elif _ODD.search(t):
+            elif _ODD.search(t) or any(a in t for a in self.added):
                 out[i] = self.whole(t)
             else:
                 words = t.split() if self.kind == "word" else chunks(t)

@@ -2,21 +2,25 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tessera.llm import packing, queries, tokenbin
 from tessera.llm.tokens import Encoder
 
-ODD = ["", None, "I'm  you're\n\n\tdon't ' s 'll 12 34a5 !!! ? x\u0085y", "\x1cabc \x1f d", "ΣΑΣ Ünïcode 日本語", "  lead trail  ", "a'sb 's'S 'RE", "<|endoftext|> x<|startoftext|>",
+ODD = ["", None, "I'm  you're\n\n\tdon't ' s 'll 12 34a5 !!! ? x\u0085y", "\x1cabc \x1f d", "ΣΑΣ Ünïcode 日本語", "  lead trail  ", "a'sb 's'S 'RE", "<|endoftext|> x<|startoftext|>", "a <|endoftext|> b", "a<|endoftext|>", "<|endo ftext|> <|EndOfText|>",
        "İstanbul ǅ ŉ", "x" * 3000, " \n ", "\n\n a", "a \n b", "tab\tx", "é x", "word... end!! _a_ b_ c'"]
 SCHEMA = "doc_id long, text string"
 
 
 @pytest.mark.parametrize("name,kind", [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
 def test_ids_are_the_librarys(spark, data, name, kind):
-    e = Encoder(queries.tokenizer_path(name), kind)
+    path = queries.tokenizer_path(name)
+    e, plain = Encoder(path, kind), Tokenizer.from_file(path)
     texts = ODD + [r.text for r in spark.read.parquet(f"{data}/documents.parquet").select("text").collect()]
     for _ in range(2):  # with and without remembered words
-        assert [e.whole(t) if t else b"" for t in texts] == e.encode(texts)
+        for t, got in zip(texts, e.encode(texts)):
+            assert np.frombuffer(got, "<u4").tolist() == (plain.encode(t, add_special_tokens=False).ids if t else []), t
 
 
 def test_ranks_round_trip():
@@ -92,5 +96,37 @@ def test_packing(spark, data):
     for p in places.values():
         p.sort()
         assert p[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(p, p[1:])) and sum(p[-1]) <= 4096
-    assert len(places) <= -(-sum(r.length for r in rows) // 4096) + 1
+    total = packing.certify(found)
+    assert total["sequences"] == len(places) and total["bound"] <= len(places) <= total["bound"] + 1 + len(rows) // 50
     assert packing.pack_documents(docs.limit(0), path).count() == 0
+    clash = docs.limit(20).withColumn("length", F.lit("x")).withColumn("bins", F.lit(1)).withColumn("group", F.lit(2))
+    assert packing.pack_documents(clash, path).count() >= 20
+
+
+def test_certificates_decide_who_exchanges(spark):
+    """Pieces of just over half a sequence are certified as they stand; awkward sizes have a gap and go round."""
+    rng = np.random.default_rng(3)
+    easy = [(i, 0, 0, 2049 + int(x), 0) for i, x in enumerate(rng.integers(0, 400, 100))]
+    rows = spark.createDataFrame(easy, packing._PIECES)
+    got = packing.pack(rows, bundle=25).collect()
+    assert all(r.certified and r.bins == r.bound for r in got) and len({r.sequence_id >> 56 for r in got}) == 1
+    hard = [(i, 0, 0, int(x), 0) for i, x in enumerate(rng.choice([1100, 1300, 1450, 1900], 400))]
+    rows = spark.createDataFrame(hard, packing._PIECES).repartition(8)
+    first = packing._packed(rows, 400, packing.CAPACITY, 50, "first")
+    before = first.select("part", "bin").distinct().count()
+    packed = packing.pack(rows, bundle=50)
+    got = packed.collect()
+    places, groups = {}, {}
+    for r in got:
+        places.setdefault(r.sequence_id, []).append(r)
+        groups.setdefault(r.sequence_id >> 24, []).append(r)
+    for g in groups.values():  # the columns are those of the packing that is returned
+        assert {r.bins for r in g} == {len({r.sequence_id for r in g})}
+        assert {r.bound for r in g} == {packing.bound(np.array([r.length for r in g]), packing.CAPACITY)}
+        assert {r.certified for r in g} == {g[0].bins == g[0].bound}
+    assert sorted(r.doc_id for r in got) == list(range(400)) and len(places) <= before
+    for p in places.values():
+        p.sort(key=lambda r: r.offset)
+        assert p[0].offset == 0 and all(x.offset + x.length == y.offset for x, y in zip(p, p[1:])) and p[-1].offset + p[-1].length <= packing.CAPACITY
+    total = packing.certify(packed)
+    assert total["bound"] <= total["sequences"] == len(places)
