@@ -14,10 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import saved
+from tessera.llm.common import map_batches, new_path, saved
 
 K = 20
 EPSILON = 4.0
@@ -25,7 +26,7 @@ TURNS = 4
 SEED = 42
 #: Rows whose exact scores give each query a first threshold; a bound.
 SAMPLE = 4096
-#: Queries sent to the executors at once (the bound of what is broadcast), and rows estimated at once.
+#: Queries sent to the executors at once, on average (the bound of what is broadcast), and rows estimated at once.
 QUERY_BLOCK = 8192
 ROW_BLOCK = 1024
 
@@ -79,7 +80,7 @@ def encode(rows: DataFrame, dim: int, center: np.ndarray) -> DataFrame:
                 names=["vec_id", "v", "code", "norm", "fit"],
             )
 
-    return rows.mapInArrow(run, "vec_id long, v array<double>, code binary, norm double, fit double")
+    return map_batches(rows, run, "vec_id long, v array<double>, code binary, norm double, fit double")
 
 
 def dot(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -112,10 +113,12 @@ class _Best:
         self.least[self.q[last]] = np.maximum(self.least[self.q[last]], self.s[last])
 
 
-def _search(query_ids: np.ndarray, queries: np.ndarray, least: np.ndarray, center: np.ndarray, k: int, epsilon: float):
-    dim = queries.shape[1]
+def _search(sent: Broadcast, center: np.ndarray, k: int, epsilon: float):
+    """``sent``: ids, vectors and first thresholds of a block of queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_ids, queries, least = sent.value
+        dim = queries.shape[1]
         # one product gives estimate plus bound: the code's part, the centroid's, and the error's
         length = np.sqrt((queries * queries).sum(axis=1))
         left = np.concatenate((queries @ rotation(dim).T, (queries @ center)[:, None], length[:, None]), axis=1).astype(np.float32)
@@ -158,6 +161,16 @@ def _first_thresholds(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarra
     return np.where(np.isfinite(out), out - 1e-9 * np.abs(out), -np.inf)
 
 
+def _with_threshold(known: Broadcast, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x = known.value
+        for b in batches:
+            least = _first_thresholds(np.asarray(b.column(0)), _matrix(b.column(1), x.shape[1]), ids, x, k)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(least)], names=["vec_id", "v", "least"])
+
+    return run
+
+
 def search(vectors: DataFrame, modulus: int = 20, k: int = K, epsilon: float = EPSILON, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Each query's ``k`` nearest by inner product: query_id, rank, vec_id, score.
 
@@ -179,7 +192,7 @@ def search(vectors: DataFrame, modulus: int = 20, k: int = K, epsilon: float = E
             acc += _matrix(b.column(0), dim).sum(axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(range(dim), pa.int32()), pa.array(acc)], names=["d", "x"])
 
-    sums = rows.select("v").mapInArrow(total, "d int, x double").groupBy("d").agg(F.sum("x").alias("x")).collect()
+    sums = map_batches(rows.select("v"), total, "d int, x double").groupBy("d").agg(F.sum("x").alias("x")).collect()
     center = np.zeros(dim)
     for r in sums:
         center[r["d"]] = r["x"] / stats["n"]
@@ -191,15 +204,18 @@ def search(vectors: DataFrame, modulus: int = 20, k: int = K, epsilon: float = E
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     drawn = codes.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
     known = drawn.column("vec_id").to_numpy(), _matrix(drawn.column("v").combine_chunks(), dim)
-    cuts = asked.agg(F.percentile("vec_id", [i / blocks for i in range(1, blocks)]).alias("q")).first()["q"] if blocks > 1 else []
+    # the queries by block, each with its first threshold, written once
+    dealt = map_batches(asked, _with_threshold(spark.sparkContext.broadcast(known), k), "vec_id long, v array<double>, least double")
+    folder = new_path(spark, "queries")
+    dealt.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).write.partitionBy("block").parquet(folder)
     found = None
-    for lo, hi in zip([None, *cuts], [*cuts, None]):
-        part = asked if lo is None else asked.where(F.col("vec_id") > lo)
-        part = (part if hi is None else part.where(F.col("vec_id") <= hi)).toArrow()
+    for block in range(blocks):
+        part = spark.read.schema("vec_id long, v array<double>, least double, block int").parquet(folder).where(F.col("block") == block).toArrow()
         if not len(part):
             continue
         ids, x = part.column("vec_id").to_numpy(), _matrix(part.column("v").combine_chunks(), dim)
-        got = codes.mapInArrow(_search(ids, x, _first_thresholds(ids, x, *known, k), center, k, epsilon), schema)
+        sent = spark.sparkContext.broadcast((ids, x, part.column("least").to_numpy()))
+        got = map_batches(codes, _search(sent, center, k, epsilon), schema)
         found = got if found is None else found.unionAll(got)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
