@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import new_path, partitions, saved, small_batches
+from tessera.llm.common import map_batches, new_path, partitions, saved
 
 MAX_CHARS = 1 << 20
 
@@ -95,10 +95,9 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def gather(rows: DataFrame) -> DataFrame:
     """(conv_id, key, roles, texts) of each conversation, turns in order of turn, role, text."""
-    small_batches(rows.sparkSession)
     src = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     src = src.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return src.select("conv_id", "role", "text").mapInArrow(_gather, _CONVERSATION)
+    return map_batches(src.select("conv_id", "role", "text"), _gather, _CONVERSATION)
 
 
 class _Layout:
@@ -156,10 +155,13 @@ def _lay_out(max_chars: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple] = []
+        chars = 0
         now: _Layout | None = None
 
         def close() -> None:
+            nonlocal chars
             if now is not None:
+                chars += now.size
                 done.append(("".join(now.parts), *(now.nodes[f] for f in _Layout.FIELDS), now.attend, now.convs, now.leaves))
 
         def out() -> pa.RecordBatch:
@@ -171,9 +173,9 @@ def _lay_out(max_chars: int):
                     close()
                     now = _Layout()
                 now.add(conv, key, roles, texts)
-                if len(done) >= 500:
+                if len(done) >= 500 or chars >= 4 * max_chars:
                     yield out()
-                    done = []
+                    done, chars = [], 0
         close()
         if done:
             yield out()
@@ -191,7 +193,7 @@ def format_conversations(rows: DataFrame, max_chars: int = MAX_CHARS, path: str
     spark = rows.sparkSession
     convs = gather(rows)
     ordered = saved(convs, "conversations").repartitionByRange(partitions(spark), "key", "conv_id").sortWithinPartitions("key", "conv_id")
-    return saved(ordered.mapInArrow(_lay_out(max_chars), _LAYOUT), "chat", path or new_path(spark, "chat"))
+    return saved(map_batches(ordered, _lay_out(max_chars), _LAYOUT), "chat", path or new_path(spark, "chat"))
 
 
 _DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -220,5 +222,4 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_back(layouts: DataFrame) -> DataFrame:
     """Per conversation, from the layouts alone: turns, loss text and formatted length."""
-    small_batches(layouts.sparkSession)
-    return layouts.mapInArrow(_digest, _DIGEST)
+    return map_batches(layouts, _digest, _DIGEST)

@@ -8,30 +8,42 @@ a lost executor costs a re-read and never a replay of the whole job.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _FOLDERS: dict[str, str] = {}
 
-#: Rows handed to a Python worker at once.  Documents can be long, so a batch
-#: is kept to a bounded number of bytes by keeping it to few rows.
+#: Rows and bytes handed to a Python worker at once: a batch ends at whichever comes first (a single row may be longer).
 BATCH_ROWS = 1000
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
     """This application's folder below ``spark.checkpoint.dir``.
 
-    Only if that setting is absent (tests on one machine) a local folder is made.
+    A path without a scheme belongs to the cluster's default file system.  Only a local master (tests on one
+    machine) may leave the setting out; a temporary folder is made then.
     """
     app = spark.sparkContext.applicationId
     if app not in _FOLDERS:
-        root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessera-")
-        if "://" not in root and not root.startswith("file:"):
-            root = f"file://{root}" if root.startswith("/") else root
+        root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not root:
+            master = spark.sparkContext.master
+            if master != "local" and not master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            root = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        root = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        if root.startswith("file:/") and not root.startswith("file://"):
+            root = f"file://{root.removeprefix('file:')}"
         _FOLDERS[app] = f"{root.rstrip('/')}/tessera-{app}-{uuid.uuid4().hex[:8]}"
         atexit.register(_remove, spark, _FOLDERS[app])
     return _FOLDERS[app]
@@ -74,10 +86,45 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keeps Arrow batches of whole texts to a bounded size."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by rows and bytes.
+
+    A DataFrame is planned when it runs, with its session's settings, so these two are lowered for the session (never raised).
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key).lower()
+        if not now.isdigit() or int(now) > most or int(now) <= 0:
+            spark.conf.set(key, str(most))
+
+
+def _give_back() -> None:
+    """Returns what a task's batches took to the system, so that idle workers hold no memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """``mapInArrow`` over bounded batches, whose workers give their memory back when a task ends."""
+    small_batches(df.sparkSession)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(task, schema)
+
+
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """``name``, with underscores put before it until no column of ``taken`` is called so (case aside)."""
+    have = {t.lower() for t in taken}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
 
 
 def fold(doc_id: str | Column, modulus: int) -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import fold, hash_share, small_batches
+from tessera.llm.common import fold, free_name, hash_share, map_batches
 
 BINS = 1 << 14  # at most 1 << 16
 NGRAMS = (2, 3, 4)
@@ -114,7 +114,6 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, learn: Column, per_language: int = SAMPLE_PER_LANGUAGE, centroids: int = CENTROIDS) -> LanguageModel:
     """Fits on ``text`` and ``lang`` of rows where ``learn`` holds; about ``per_language`` texts each at most."""
-    small_batches(docs.sparkSession)
     rows = docs.where(learn).where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}"))
     sizes = {r["lang"]: r["count"] for r in docs.where(learn).where("lang is not null and text is not null").groupBy(F.col("lang").cast("string").alias("lang")).count().collect()}
     within, h = F.lit(False), F.xxhash64("doc_id", "text")
@@ -122,7 +121,7 @@ def fit(docs: DataFrame, learn: Column, per_language: int = SAMPLE_PER_LANGUAGE,
         within = within | ((F.col("lang") == lang) & hash_share(h, per_language / n))
     # equal rows share a hash; each counts once
     sample = rows.where(within).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).dropDuplicates()
-    table = sample.mapInArrow(_features, "lang string, at binary, n binary").toArrow()
+    table = map_batches(sample, _features, "lang string, at binary, n binary").toArrow()
     got = sorted(zip(table.column("lang").to_pylist(), table.column("at").to_pylist(), table.column("n").to_pylist()))
     del table
     if not got:
@@ -153,7 +152,6 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", prefi
     The language is ``und``, with score 0 and rejected, for a null text or one without a letter.
     The model is of a fixed size (bins x centroids), whatever the table's.
     """
-    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
     names = [f"{prefix}lang_pred", f"{prefix}score", f"{prefix}rejected"]
@@ -166,7 +164,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", prefi
             yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, *names])
 
     fields = [T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()))]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
+    return map_batches(docs, run, T.StructType([*docs.schema.fields, *fields]))
 
 
 def identify(docs: DataFrame, held_out: int = 1, folds: int = 3) -> DataFrame:
@@ -183,7 +181,10 @@ def identify(docs: DataFrame, held_out: int = 1, folds: int = 3) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, held_out: int = 1, folds: int = 3) -> DataFrame:
-    """``docs`` without the rows that are rejected (all columns kept)."""
+    """``docs`` without the rows that are rejected (all columns kept), null and letterless texts among them."""
     src = docs.select("doc_id", F.col("text").cast("string").alias("text"), "lang")
     model = fit(src, fold("doc_id", folds) != held_out)
-    return predict(docs, model, prefix="_").where(~F.col("_rejected")).select(docs.columns)
+    prefix = "_"
+    while any(free_name(f"{prefix}{n}", docs.columns) != f"{prefix}{n}" for n in ("lang_pred", "score", "rejected")):
+        prefix += "_"
+    return predict(docs, model, prefix=prefix).where(~F.col(f"{prefix}rejected")).select(docs.columns)

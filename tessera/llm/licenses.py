@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import hash_share, small_batches
+from tessera.llm.common import hash_share, map_batches
 
 #: Notices as they stand in public licences and at the head of files under them.
 TEMPLATES = {
@@ -286,7 +286,6 @@ def scan(docs: DataFrame) -> DataFrame:
     Null and empty texts have none; whole texts are read; repeated rows are scanned alike; an
     empty table gives an empty result; only doc_id and text are read.
     """
-    small_batches(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(fit(src))
 
@@ -304,4 +303,4 @@ def scan(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "licenses", "n_notices", "probability"],
             )
 
-    return src.mapInArrow(run, "doc_id long, licenses string, n_notices int, probability double")
+    return map_batches(src, run, "doc_id long, licenses string, n_notices int, probability double")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import chat, decontam, langid, licenses, packing, rabitq, simhash, substring, tokenbin, toxicity
+from tessera.llm.common import map_batches
 
 
 def tokenizer_path(name: str) -> str:
@@ -51,7 +52,7 @@ def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
             sha = [substring.kept_digest(substring.split_words(t)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return cut.mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return map_batches(cut, digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def op5_rabitq(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import partitions, saved, small_batches
+from tessera.llm.common import free_name, map_batches, partitions, saved
 from tessera.llm.components import connected_components
 
 TAU = 4
@@ -73,9 +73,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed long, one row per input row."""
-    small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(_fingerprints, "doc_id long, fp long")
+    return map_batches(src, _fingerprints, "doc_id long, fp long")
 
 
 def _part(fp, i: int):
@@ -201,7 +200,7 @@ def links(fps: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
             )
         )
     grouped = dealt.select("g", "key", "fp", "indexed").repartition("g").sortWithinPartitions("g", "key")
-    return grouped.mapInArrow(_search, "a long, b long").distinct()
+    return map_batches(grouped, _search, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -233,19 +232,19 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found = saved(near_duplicates(docs, id_col, text_col), "near")
     keep = found.where("doc_id = component_id").select(F.col("doc_id").cast(docs.schema[id_col].dataType).alias(id_col)).distinct()
     named = docs.join(keep, id_col, "left_semi").dropDuplicates([id_col])
-    nameless = found.where("doc_id is null and component_id is null").select(F.col("fp").alias("_fp")).distinct()
-    rest = with_fingerprint(docs.where(F.col(id_col).isNull()), text_col).join(nameless, "_fp", "left_semi").dropDuplicates(["_fp"])
-    return named.unionByName(rest.select(docs.columns)).select(docs.columns)
+    name = free_name("_fp", docs.columns)
+    nameless = found.where("doc_id is null and component_id is null").select(F.col("fp").alias(name)).distinct()
+    rest = with_fingerprint(docs.where(F.col(id_col).isNull()), text_col, name).join(nameless, name, "left_semi").dropDuplicates([name])
+    return named.select(docs.columns).unionByName(rest.select(docs.columns))
 
 
-def with_fingerprint(docs: DataFrame, text_col: str) -> DataFrame:
-    """``docs`` and a last column ``_fp``."""
-    small_batches(docs.sparkSession)
+def with_fingerprint(docs: DataFrame, text_col: str, name: str) -> DataFrame:
+    """``docs`` and a last column ``name``."""
     at = docs.columns.index(text_col)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = pa.array([_signed(fingerprint(t)) for t in b.column(at).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns, fp], names=[*b.schema.names, "_fp"])
+            yield pa.RecordBatch.from_arrays([*b.columns, fp], names=[*b.schema.names, name])
 
-    return docs.mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())]))
+    return map_batches(docs, add, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))

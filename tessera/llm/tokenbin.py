@@ -27,7 +27,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import new_path, partitions, small_batches
+from tessera.llm.common import map_batches, new_path, partitions
 from tessera.llm.tokens import Encoder
 
 MAGIC = b"TSRTOK01"
@@ -164,12 +164,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: in
     Only the manifest (a row a shard) is held by the driver.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     folder = folder or new_path(spark, "tokens")
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     tie = F.xxhash64("text")
     ordered = src.repartitionByRange(partitions(spark), "doc_id", tie).sortWithinPartitions("doc_id", tie)
-    rows = ordered.mapInArrow(_write(folder, tokenizer, kind, end_id, shard_tokens), _MANIFEST).collect()
+    rows = map_batches(ordered, _write(folder, tokenizer, kind, end_id, shard_tokens), _MANIFEST).collect()
     out, start = [], 0
     for r in sorted(rows, key=lambda r: (r["part"], r["number"])):
         out.append((folder, r["path"], r["docs"], r["tokens"], start))
@@ -195,4 +194,4 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_documents(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, decoded from the files of a manifest."""
     n = max(1, manifest.count())
-    return manifest.repartition(min(n, 4 * partitions(manifest.sparkSession))).mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_batches(manifest.repartition(min(n, 4 * partitions(manifest.sparkSession))), _read, "doc_id long, start long, n_tokens long, ids_crc32 long")
