@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tessera.llm import decontam
 from tessera.llm.decontam import ItemIndex, words
@@ -21,35 +22,91 @@ def items_and_texts(seed=0, n=60):
     return items, texts
 
 
-def brute(index, text):
-    """Every passage against every item by BM25 itself, then the same verification."""
-    n = len(index.ids)
-    df = Counter(w for ws in index.words for w in set(ws))
-    mean = sum(map(len, index.words)) / n
-    impact = []
-    for ws in index.words:
-        base = decontam.K1 * (1 - decontam.B + decontam.B * len(ws) / mean)
-        impact.append({w: np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c * (decontam.K1 + 1) / (c + base) for w, c in Counter(ws).items()})
+def in_order(item, part, share):
+    """The longest chain of three-word runs that ascends in both, by the quadratic recursion."""
+    x, y = ([tuple(ws[i : i + decontam.GRAM]) for i in range(len(ws) - decontam.GRAM + 1)] for ws in (item, part))
+    before = [0] * (len(y) + 1)
+    for r in x:
+        now = [0]
+        for j, q in enumerate(y):
+            now.append(max(before[j + 1], now[j], before[j] + (r == q)))
+        before = now
+    return before[-1] >= share * len(x)
+
+
+def brute(items, text):
+    """Every passage against every item by BM25 itself, then question and answer in order."""
+    items = [(i, words(t)) for i, t in items]
+    n = len(items)
+    df = Counter(w for _, ws in items for w in set(ws))
+    mean = sum(len(ws) for _, ws in items) / n
     ws, found = words(text), set()
     starts = [0] if len(ws) <= decontam.PASSAGE else range(0, len(ws) - decontam.STEP, decontam.STEP)
-    for s in starts:
-        passage = set(ws[s : s + decontam.PASSAGE])
-        e = min(len(ws), s + decontam.PASSAGE)
-        part = ws[max(0, s - decontam.PASSAGE) : e + decontam.PASSAGE]
-        seen = {tuple(part[i : i + g]) for g in range(1, decontam.GRAM + 1) for i in range(len(part) - g + 1)}
-        for at in range(n):
-            if sum(impact[at].get(w, 0) for w in passage) >= decontam.SHARE * sum(impact[at].values()) and index.verify(at, seen):
-                found.add(index.ids[at])
+    for i, item in items:
+        base = decontam.K1 * (1 - decontam.B + decontam.B * len(item) / mean)
+        impact = {w: np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c * (decontam.K1 + 1) / (c + base) for w, c in Counter(item).items()}
+        for s in starts:
+            e = min(len(ws), s + decontam.PASSAGE)
+            if sum(impact.get(w, 0) for w in set(ws[s:e])) >= decontam.SHARE * sum(impact.values()):
+                part = ws[max(0, s - decontam.PASSAGE) : e + decontam.PASSAGE]
+                cut = len(item) - decontam.ANSWER
+                if in_order(item[:cut], part, decontam.QUESTION_SHARE) and in_order(item[cut:], part, decontam.ANSWER_SHARE):
+                    found.add(i)
     return sorted(found)
 
 
 def test_pruning_loses_nothing(monkeypatch):
     items, texts = items_and_texts()
-    for shard in (256, 8):
-        monkeypatch.setattr(decontam, "SHARD", shard)
-        monkeypatch.setattr(decontam, "GATHER", 500)
+    want = [brute(items, t) for t in texts]
+    assert sum(map(bool, want)) > 50
+    for block, gather, cells in ((4, 1 << 18, 1 << 21), (1, 500, 64), (64, 500, 1 << 10), (7, 3000, 300)):
+        monkeypatch.setattr(decontam, "BLOCK", block)
+        monkeypatch.setattr(decontam, "GATHER", gather)
+        monkeypatch.setattr(decontam, "CELLS", cells)
+        assert ItemIndex(items).find_all(texts) == want
+
+
+def test_wand_retrieves_all_above_the_threshold():
+    """The cursors alone, against the scores of all items; blocks that bounds exclude hold none."""
+    items, texts = items_and_texts(3)
+    for block in (1, 4, 16):
+        decontam.BLOCK, old = block, decontam.BLOCK
         index = ItemIndex(items)
-        assert index.find_all(texts) == [brute(index, t) for t in texts]
+        (level,) = index.levels
+        for t in texts[:60]:
+            have = sorted({index.terms[w] for w in words(t)[:96] if w in index.terms})
+            score = np.zeros(len(items))
+            for term in have:
+                for k in range(level.ptr[term], level.ptr[term + 1]):
+                    score[level.at[k]] += level.impact[k]
+            want = np.flatnonzero(score >= index.need - 1e-6).tolist()
+            assert sorted(level.wand(have, np.ones(level.blocks, bool))) == want
+        decontam.BLOCK = old
+
+
+def test_words_must_be_in_order():
+    rng = random.Random(2)
+    ws = [f"x{i}" for i in range(48)]
+    index = ItemIndex([(5, " ".join(ws))] + [(i + 10, " ".join(f"y{i}_{k}" for k in range(30))) for i in range(20)])
+    pieces = [ws[i : i + 5] for i in range(0, 40, 5)]
+    rng.shuffle(pieces)
+    assert index.find(" ".join(ws)) == [5]
+    assert index.find(" ".join([*(w for p in pieces for w in p), *ws[40:]])) == []
+
+
+def test_a_large_benchmark_is_sparse():
+    """20,000 items of 100,000 terms: postings and block maxima in well under 500 MB."""
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    picks = rng.integers(0, 100_000, (20_000, 40))
+    items = [(i, " ".join(f"t{w}" for w in row)) for i, row in enumerate(picks.tolist())]
+    tracemalloc.start()
+    index = ItemIndex(items)
+    now, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 300 << 20 and now < 150 << 20
+    assert index.find_all([items[k][1] for k in (0, 777, 19_999)] + ["nothing of it"]) == [[0], [777], [19_999], []]
 
 
 def test_long_items_are_found_at_any_length():
@@ -105,5 +162,8 @@ def test_edges(spark):
     got = [(r.doc_id, r.found) for r in decontam.contaminated(docs, items, out_col="found").collect()]
     assert sorted(got, key=str) == sorted([(1, [1]), (2, [1]), (3, []), (4, []), (5, []), (6, [1]), (1, [1]), (None, [-1])], key=str)
     assert decontam.keep_clean(docs, items).columns == docs.columns
+    clash = docs.withColumn("_items", F.lit("x"))
+    assert decontam.contaminated(clash, items).columns == [*clash.columns, "__items"]
+    assert sorted(str(r.doc_id) for r in decontam.keep_clean(clash, items).collect()) == ["3", "4", "5"]
     assert decontam.contaminated(docs.limit(0), items).count() == 0
     assert {tuple(r["items"]) for r in decontam.contaminated(docs.drop("items"), items.limit(0)).collect()} in ({()}, set())
