@@ -92,10 +92,12 @@ def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def stage_substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages are cut out; a document of nothing else goes."""
-    cut = substring.deduplicate(docs).where("_n_removed = 0 or _n_words > _n_removed")
+    cut = substring.deduplicate(docs)
+    n_words, n_removed = cut.columns[-2:]
+    cut = cut.where((F.col(n_removed) == 0) | (F.col(n_words) > F.col(n_removed)))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        cut = cut.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+        cut = cut.withColumn("n_chars", F.when(F.col(n_removed) > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return cut.select(docs.columns)
 
 

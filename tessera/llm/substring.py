@@ -4,35 +4,41 @@ Windows are ``WINDOW`` consecutive words.  Every window selects, by least hash,
 one of the runs of ``ANCHOR`` words inside it (its anchor), so equal windows select
 equal anchors at the same place; about one position in twenty is
 selected.  What a document's windows around one anchor span is
-a *segment*, and the index keeps one entry per segment:
-``(anchor hash, 128-bit segment digest, first and last doc_id of the batch)``.
-
-* Each ingested batch becomes one immutable *run*, sorted by anchor hash and written once.
-* A new batch is joined with the runs.  A segment whose whole digest occurs in an earlier
-  document is repeated as it stands.  Where an anchor occurs with different surroundings,
-  the candidates are verified window by window with 128-bit digests computed from the texts themselves.
+a *segment*, and the index keeps one entry per distinct segment:
+``(anchor hash, 128-bit segment hash, first and last doc_id)``.
+
+* Each ingested batch becomes one immutable *run*, bucketed by anchor and sorted, written once.
+* A new batch is merged with the runs bucket by bucket: bucket k of all runs is read by one task, so no historical
+  entry is ever shuffled again.  Where a segment occurs in two documents, or an anchor with different
+  surroundings, documents become candidates.
+* Candidates are confirmed on their words: digests of the words themselves (``hashlib.blake2b``) of
+  the whole segment, or of each window of it, must be equal.
 * When more than ``fan_out`` runs have gathered, they are compacted into one.
 
-Documents that repeat an earlier document word for word are settled by a digest
-of the whole text and never reach the index, so a group of copies costs one entry.
+An anchor with more than ``HOT`` distinct segments is dealt to ``SALTS`` buckets by segment hash from then on, so no
+bucket grows with one passage that very many documents surround differently.  Documents that repeat an earlier document word for word are settled by a digest
+of the whole text (in a log of its own) and never reach the index, so a group of copies costs one entry.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import delete_path, new_path, release, saved, small_batches
+from tessera.llm.common import delete_path, free_name, map_batches, new_path, partitions, release, saved
 
 WINDOW = 50
 ANCHOR = 10
+#: Distinct segments of an anchor beyond which it is dealt to several buckets, and to how many.
+HOT, SALTS = 20_000, 64
 
 _MULT = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _MASK = (1 << 64) - 1
@@ -124,11 +130,17 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-_MARKS = "doc_id long, th long, whole boolean, lo int, hi int, h1 long, h2 long"
+def _digest(line: bytes, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """(n, 2) longs: digests of the stretches of a text's words joined by one space."""
+    blake = hashlib.blake2b
+    return np.frombuffer(b"".join([blake(line[s:e], digest_size=16).digest() for s, e in zip(start.tolist(), stop.tolist())]), np.int64).reshape(-1, 2)
+
+
+_MARKS = "doc_id long, th long, lo int, hi int, h1 long, h2 long"
 
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, th, text, hits): ranges of windows known to repeat, and digests of the windows to verify."""
+    """(doc_id, th, text, hits): digests of the words of the segments that may repeat whole, and of each window of the others."""
     for b in batches:
         ids, ths, hits = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3)
         out: list[tuple] = []
@@ -138,35 +150,32 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             known = hits[row].values
             keys, whole = np.asarray(known.field("s1")), known.field("whole").to_numpy(zero_copy_only=False)
-            hashed = Hashed(words)
-            _, s1, _, lo, hi = hashed.segments()
+            _, s1, _, lo, hi = Hashed(words).segments()
             s1 = s1.view(np.int64)
-            for flag in (True, False):
-                mine = np.isin(s1, keys[whole == flag])
-                if not mine.any():
-                    continue
-                if flag:
-                    first, last = lo[mine], hi[mine]
-                    h1 = h2 = np.zeros(len(first), np.uint64)
-                else:
-                    n = hi[mine] - lo[mine] + 1
-                    first = np.repeat(lo[mine] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-                    last = first
-                    h1, h2 = (hashed.spans(first, first + WINDOW, k) for k in (0, 1))
-                out.append((len(first), ids[row], ths[row], flag, first, last, h1, h2))
+            mine = np.isin(s1, keys[whole])
+            first, last = [lo[mine]], [hi[mine]]
+            mine = np.isin(s1, keys[~whole])
+            n = hi[mine] - lo[mine] + 1
+            each = np.repeat(lo[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            first, last = np.concatenate([*first, each]), np.concatenate([*last, each])
+            if len(first):
+                line = b" ".join(words)
+                end = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+                begin = np.concatenate(([0], end[:-1] + 1))
+                out.append((len(first), ids[row], ths[row], first, last, _digest(line, begin[first], end[last + WINDOW - 1])))
         if out:
             n = [o[0] for o in out]
+            digests = np.concatenate([o[5] for o in out])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.repeat([o[1] for o in out], n)),
                     pa.array(np.repeat([o[2] for o in out], n)),
-                    pa.array(np.repeat([o[3] for o in out], n)),
+                    pa.array(np.concatenate([o[3] for o in out]).astype(np.int32)),
                     pa.array(np.concatenate([o[4] for o in out]).astype(np.int32)),
-                    pa.array(np.concatenate([o[5] for o in out]).astype(np.int32)),
-                    _long(np.concatenate([o[6] for o in out])),
-                    _long(np.concatenate([o[7] for o in out])),
+                    pa.array(np.ascontiguousarray(digests[:, 0])),
+                    pa.array(np.ascontiguousarray(digests[:, 1])),
                 ],
-                names=["doc_id", "th", "whole", "lo", "hi", "h1", "h2"],
+                names=[f.split()[0] for f in _MARKS.split(", ")],
             )
 
 
@@ -175,117 +184,204 @@ def _text_hash(text: str):
     return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
+class RunLog:
+    """Immutable runs below ``path``, in one table bucketed by the first column, each file sorted.
+
+    A run adds one file to each bucket, so a plan over the table that groups by the first column reads bucket k of all runs in one task, without an exchange.
+    (A union of a table a run would do as well, but Spark 4.1 plans it without an exchange and then, reading columns, does not align its partitions.)
+    Folders are ``<name>-<generation>-<buckets>``: a compaction writes the next generation.  A run counts once its mark
+    ``<folder>.done-<number>-<run>`` is there, so what a failed attempt left is never read.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, name: str, schema: str, buckets: int) -> None:
+        self.spark, self.path, self.name, self.schema, self.buckets = spark, path, name, schema, buckets
+        self.columns = [c.split()[0] for c in schema.split(", ")]
+        self.runs: list[int] = []
+        self.generation, self.table = 0, f"tessera_{name}_{uuid.uuid4().hex}"
+        top = self._hadoop(path)
+        fs = self._fs(top)
+        marks = []
+        for x in fs.listStatus(top) if fs.exists(top) else ():
+            where, _, mark = x.getPath().getName().partition(".done-")
+            kind, _, rest = where.partition("-")
+            if mark and kind == name:
+                marks.append((*map(int, rest.split("-")), *map(int, mark.split("-"))))
+        if marks:
+            self.generation = max(marks)[0]
+            self.buckets = max(marks)[1]
+            self.runs = [m[3] for m in sorted(marks) if m[0] == self.generation]
+            order = ", ".join(self.columns[:3])
+            spark.sql(f"CREATE TABLE {self.table} (run long, {schema}) USING parquet CLUSTERED BY ({self.columns[0]}) SORTED BY ({order}) INTO {self.buckets} BUCKETS LOCATION '{self.folder}'")
+
+    def _hadoop(self, path: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _fs(self, path):
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    @property
+    def folder(self) -> str:
+        return f"{self.path}/{self.name}-{self.generation:06d}-{self.buckets}"
+
+    def append(self, rows: DataFrame, placed: bool = False) -> None:
+        """``placed``: the rows are partitioned as the buckets are, as those of a plan over the runs."""
+        run = uuid.uuid4().int >> 66
+        rows = rows.select(F.lit(run).cast("long").alias("run"), *self.columns)
+        rows = rows if placed else rows.repartition(self.buckets, self.columns[0])
+        writer = rows.write.mode("append").bucketBy(self.buckets, self.columns[0]).sortBy(*self.columns[:3])
+        writer.option("path", self.folder).option("compression", "zstd").format("parquet").saveAsTable(self.table)
+        mark = self._hadoop(f"{self.folder}.done-{len(self.runs)}-{run}")
+        self._fs(mark).mkdirs(mark)
+        self.runs.append(run)
+
+    def read(self) -> DataFrame:
+        """All rows, with their run."""
+        return self.spark.table(self.table).where(F.col("run").isin(self.runs)) if self.runs else self.spark.createDataFrame([], f"run long, {self.schema}")
+
+    def merged(self) -> DataFrame:
+        """All rows, with a column ``fresh``: what the last run brought."""
+        last = F.col("run") == F.lit(self.runs[-1] if self.runs else -1)
+        return self.read().withColumn("fresh", last & F.col("fresh") if "fresh" in self.columns else last).drop("run")
+
+    def replace(self, rows: DataFrame, placed: bool) -> None:
+        """``rows`` of a plan over the runs become the next generation's only run."""
+        old = self.table, self.folder, [f"{self.folder}.done-{k}-{run}" for k, run in enumerate(self.runs)]
+        self.generation, self.table, self.runs = self.generation + 1, f"tessera_{self.name}_{uuid.uuid4().hex}", []
+        self.append(rows, placed)
+        self._delete(*old)
+
+    def _delete(self, table: str, folder: str, marks: list[str]) -> None:
+        for mark in marks:
+            delete_path(self.spark, mark)
+        self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        delete_path(self.spark, folder)
+
+    def drop(self) -> None:
+        self._delete(self.table, self.folder, [f"{self.folder}.done-{k}-{run}" for k, run in enumerate(self.runs)])
+        self.runs = []
+
+
 class FingerprintIndex:
     """Sorted immutable runs of segment fingerprints below ``path``.
 
     Batches arrive in ascending doc_id order; an earlier document always wins.
     ``ingest`` appends a batch's run and returns what it has in common with the runs; ``verify``
-    turns that into the windows to remove.
+    turns that into the windows to remove.  An index of ``path`` that exists is opened, with its own number of buckets.
     """
 
-    _RUN = "anchor long, s1 long, s2 long, first long, last long"
+    _RUN = "slot long, s1 long, s2 long, anchor long, first long, last long, fresh boolean"
     _COPIES = "d1 long, d2 long, first long"
 
-    def __init__(self, spark: SparkSession, path: str | None = None, fan_out: int = 8) -> None:
-        self.spark, self.path, self.fan_out = spark, path or new_path(spark, "fingerprints"), fan_out
-        self.made = 0
-        self.runs: list[str] = []
-        self.copies: list[str] = []
+    def __init__(self, spark: SparkSession, path: str | None = None, fan_out: int = 8, buckets: int | None = None, hot: int = HOT) -> None:
+        self.spark, self.path, self.fan_out, self.hot = spark, path or new_path(spark, "fingerprints"), fan_out, hot
+        n = buckets or partitions(spark)
+        self.segments = RunLog(spark, self.path, "run", self._RUN, n)
+        self.copies = RunLog(spark, self.path, "copies", self._COPIES, n)
+        self.hot_anchors = RunLog(spark, self.path, "hot", "anchor long, count long", n)
         self.passing: list[str] = []  # tables that only the next verification needs
-        self._list()
 
-    def _list(self) -> None:
-        """Finds the runs of an index that exists already (only those whose writing was completed)."""
-        top = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = top.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(top):
-            return
-        for x in fs.listStatus(top):
-            where = x.getPath().toString()
-            if fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{where}/_SUCCESS")):
-                (self.runs if "/run-" in where else self.copies).append(where)
-        self.runs.sort()
-        self.copies = sorted(self.copies)[-1:]
-        self.made = 1 + max([-1, *(int(r.rsplit("-", 1)[1]) for r in self.runs)])
-
-    def _read(self, paths: list[str], schema: str) -> DataFrame:
-        if not paths:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*paths)
+    @property
+    def runs(self) -> list[int]:
+        return self.segments.runs
 
     def _saved(self, df: DataFrame, name: str) -> DataFrame:
         self.passing.append(new_path(self.spark, name))
         return saved(df, name, self.passing[-1])
 
-    def _write_run(self, classes: DataFrame) -> str:
-        path = f"{self.path}/run-{self.made:06d}"
-        saved(classes.select("anchor", "s1", "s2", "first", "last").sortWithinPartitions("anchor", "s1", "s2"), "run", path)
-        self.made += 1
-        return path
+    def _placed(self, rows: DataFrame) -> DataFrame:
+        """``slot``: the anchor, or for a hot one the anchor and a salt."""
+        if not self.hot_anchors.runs:
+            return rows.withColumn("slot", F.col("anchor"))
+        hot = self.hot_anchors.read().select("anchor", F.lit(True).alias("hot"))
+        return rows.join(hot, "anchor", "left").withColumn("slot", F.when(F.col("hot"), self._salted()).otherwise(F.col("anchor")))
+
+    @staticmethod
+    def _salted(salt=None):
+        return F.xxhash64("anchor", F.pmod("s1", F.lit(SALTS)) if salt is None else salt)
 
     @staticmethod
-    def _merge(rows: DataFrame, *more: Column) -> DataFrame:
-        return rows.groupBy("s1", "s2").agg(F.min("anchor").alias("anchor"), F.min("first").alias("first"), F.max("last").alias("last"), *more)
+    def _classes(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("slot", "s1", "s2").agg(F.min("anchor").alias("anchor"), F.min("first").alias("first"), F.max("last").alias("last"), F.max("fresh").alias("fresh"))
 
     def compact(self) -> None:
         """Merges all runs into one; equal entries become one of the earliest and the latest document."""
         if len(self.runs) < 2:
             return
-        old, self.runs = self.runs, [self._write_run(self._merge(self._read(self.runs, self._RUN)))]
-        for path in old:
-            delete_path(self.spark, path)
+        copies = self.copies.merged().groupBy("d1", "d2").agg(F.min("first").alias("first"))
+        self.copies.replace(copies, True)
+        rows, moved = self.segments.merged(), bool(self.hot_anchors.runs)
+        if moved:  # entries from before their anchor was hot go to its slots
+            rows = self._placed(rows.drop("slot"))
+        self.segments.replace(self._classes(rows), not moved)
 
     def ingest(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
         """``batch`` is (doc_id, text).  Returns
 
-        * (doc_id, s1, whole): segments that earlier documents hold whole, and - of this batch and
-          of documents ingested before - the segments to verify window by window;
+        * (doc_id, s1, whole): segments to confirm, of this batch and of documents ingested before - as a whole, or window by window;
         * (doc_id, th, lo, hi): all windows of the documents that repeat an earlier one word for word.
         """
-        small_batches(self.spark)
         keyed = batch.where("doc_id is not null").select("doc_id", _text_hash("text").alias("th"), "text")
-        scan = self._saved(keyed.mapInArrow(_scan, _SCAN), "scan").where(F.col("n_words") >= WINDOW)
+        scan = self._saved(map_batches(keyed, _scan, _SCAN), "scan").where(F.col("n_words") >= WINDOW)
 
-        before = self._read(self.copies, self._COPIES)
-        first = before.unionAll(scan.select("d1", "d2", F.col("doc_id").alias("first"))).groupBy("d1", "d2").agg(F.min("first").alias("first"))
-        self.copies = [f"{self.path}/copies-{self.made:06d}"]  # it holds what the earlier ones held
-        first = saved(first, "copies", self.copies[0])
+        self.copies.append(scan.groupBy("d1", "d2").agg(F.min("doc_id").alias("first")))
+        first = self.copies.merged().groupBy("d1", "d2").agg(F.min("first").alias("first"), F.max("fresh").alias("fresh")).where("fresh").drop("fresh")
+        first = self._saved(first, "texts")  # of this batch's texts
         rows = scan.select("doc_id", "th", "n_words", "d1", "d2").join(first, ["d1", "d2"])
         dead = self._saved(rows.where("first < doc_id").select("doc_id", "th", F.lit(0).alias("lo"), (F.col("n_words") - WINDOW).cast("int").alias("hi")), "copied")
 
         alive = scan.join(first, [scan.d1 == first.d1, scan.d2 == first.d2, scan.doc_id == first["first"]], "left_semi")
-        entries = alive.select("doc_id", F.explode(F.arrays_zip("anchor", "s1", "s2")).alias("e")).select("e.anchor", "e.s1", "e.s2", "doc_id")
-        run = self._write_run(self._merge(entries.select("anchor", "s1", "s2", F.col("doc_id").alias("first"), F.col("doc_id").alias("last"))))
-        classes = self._read([run], self._RUN).withColumn("fresh", F.lit(True))
-        if self.runs:  # the merge with history
-            seen = classes.unionAll(self._read(self.runs, self._RUN).withColumn("fresh", F.lit(False)))
-            classes = self._saved(self._merge(seen, F.max("fresh").alias("fresh")), "merged")
-        mixed = classes.groupBy("anchor").agg(F.min("s1").alias("a"), F.max("s1").alias("z"), F.max("fresh").alias("fresh")).where("a <> z and fresh").select("anchor")
-        again = entries.select("s1", "s2", "doc_id").join(classes.where("first < last and fresh").select("s1", "s2", "first"), ["s1", "s2"]).where("first < doc_id")
-        verify = classes.select("anchor", "s1", "first").join(mixed, "anchor", "left_semi")
-        hits = again.select("doc_id", "s1", F.lit(True).alias("whole")).unionAll(verify.select(F.col("first").alias("doc_id"), "s1", F.lit(False).alias("whole")))
+        entries = self._saved(alive.select("doc_id", F.explode(F.arrays_zip("anchor", "s1", "s2")).alias("e")).select("e.anchor", "e.s1", "e.s2", "doc_id"), "entries")
+        classes = entries.groupBy("anchor", "s1", "s2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+        classes = self._saved(classes.withColumn("fresh", F.lit(True)), "classes")
+        new_hot = self._new_hot(classes)
+        placed = self._placed(classes)
+        if new_hot is not None and self.runs:  # their earlier entries come along to the new slots
+            before = self.segments.read().drop("run").join(new_hot.select(F.col("anchor").alias("slot")), "slot", "left_semi")
+            placed = placed.select(*self.segments.columns).unionAll(before.withColumn("slot", self._salted()).withColumn("fresh", F.lit(False)).select(*self.segments.columns))
+        self.segments.append(placed)
+
+        slot = Window.partitionBy("slot")
+        found = self._classes(self.segments.merged())
+        found = found.withColumn("mixed", (F.min("s1").over(slot) < F.max("s1").over(slot)) & F.max("fresh").over(slot))
+        if self.hot_anchors.runs:  # a hot anchor has many surroundings, in whichever slot they are
+            hot = self.hot_anchors.read().select("anchor").join(classes.select("anchor").distinct(), "anchor", "left_semi")
+            slots = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).select(self._salted(F.col("salt").cast("long")).alias("slot"), F.lit(True).alias("hot")).distinct()
+            found = found.join(slots, "slot", "left").withColumn("mixed", F.col("mixed") | F.coalesce("hot", F.lit(False))).drop("hot")
+        twice = (F.col("first") < F.col("last")) & F.col("fresh")
+        found = self._saved(found.where(twice | F.col("mixed")).select("s1", "s2", "first", "mixed", twice.alias("twice")), "found")
+        again = entries.select("s1", "s2", "doc_id").join(found.where("twice").select("s1", "s2", "first"), ["s1", "s2"])
+        hits = again.select("doc_id", "s1", F.lit(True).alias("whole"))
+        hits = hits.unionAll(found.where("twice").select(F.col("first").alias("doc_id"), "s1", F.lit(True))).unionAll(found.where("mixed").select("first", "s1", F.lit(False)))
         hits = self._saved(hits, "hits")
 
-        self.runs.append(run)
         if len(self.runs) > self.fan_out:
             self.compact()
         release(self.spark)
         return hits, dead
 
+    def _new_hot(self, classes: DataFrame) -> DataFrame | None:
+        """Anchors that this batch shows to be hot (one in ``hot`` entries at most), added to those known; None if there are none."""
+        new = classes.groupBy("anchor").count().where(F.col("count") > self.hot)
+        if self.hot_anchors.runs:
+            new = new.join(self.hot_anchors.read().select("anchor"), "anchor", "left_anti")
+        new = self._saved(new, "hot")
+        if new.isEmpty():
+            return None
+        self.hot_anchors.append(new)
+        return new
+
     def verify(self, texts: DataFrame, hits: DataFrame, dead: DataFrame) -> DataFrame:
         """``texts`` (doc_id, text) of all documents that ``hits`` names -> (doc_id, th, ranges) of windows to remove.
 
         ``hits`` and ``dead`` (of this object's batches, or stored by the caller) are used up: their tables are deleted.
         """
-        small_batches(self.spark)
         release(self.spark)
         keyed = texts.where("doc_id is not null").select("doc_id", _text_hash("text").alias("th"), "text")
         mine = hits.groupBy("doc_id").agg(F.collect_set(F.struct("s1", "whole")).alias("hits"))
-        marks = self._saved(keyed.join(mine, "doc_id").select("doc_id", "th", "text", "hits").mapInArrow(_mark, _MARKS), "marks")
-        windows = marks.where("not whole")
-        known = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-        repeats = windows.join(known.select("h1", "h2", "first"), ["h1", "h2"]).where("first < doc_id")
-        gone = marks.where("whole").select("doc_id", "th", "lo", "hi").unionAll(repeats.select("doc_id", "th", "lo", "hi")).unionAll(dead)
+        marks = self._saved(map_batches(keyed.join(mine, "doc_id").select("doc_id", "th", "text", "hits"), _mark, _MARKS), "marks")
+        known = marks.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+        repeats = marks.join(known.select("h1", "h2", "first"), ["h1", "h2"]).where("first < doc_id")
+        gone = repeats.select("doc_id", "th", "lo", "hi").unionAll(dead)
         out = saved(gone.groupBy("doc_id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")), "ranges")
         for path in self.passing:
             delete_path(self.spark, path)
@@ -293,6 +389,12 @@ class FingerprintIndex:
         release(self.spark)
         return out
 
+    def drop(self) -> None:
+        """Deletes the index."""
+        for log in (self.segments, self.copies, self.hot_anchors):
+            log.drop()
+        delete_path(self.spark, self.path)
+
 
 def kept_words(words: list[bytes], ranges: list[dict] | None) -> list[bytes]:
     """The words that no window start in ``ranges`` covers."""
@@ -305,7 +407,7 @@ def kept_words(words: list[bytes], ranges: list[dict] | None) -> list[bytes]:
     return [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
 
 
-def _cut(at: int):
+def _cut(at: int, names: list[str]):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts that lose words are rebuilt from the kept ones; all others stay as they are."""
         for b in batches:
@@ -319,17 +421,17 @@ def _cut(at: int):
             cols = list(b.columns[:-1])
             cols[at] = pa.array(new, pa.string())
             yield pa.RecordBatch.from_arrays(
-                [*cols, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], names=[*b.schema.names[:-1], "_n_words", "_n_removed"]
+                [*cols, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], names=[*b.schema.names[:-1], *names]
             )
 
     return cut
 
 
-def deduplicate(docs: DataFrame, batches: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with repeated windows cut out of the text, plus ``_n_words`` and ``_n_removed``.
+def deduplicate(docs: DataFrame, batches: int = 4, fan_out: int = 2, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+    """``docs`` with repeated windows cut out of the text, and two last columns ``_n_words`` and ``_n_removed`` (with more underscores, if ``docs`` has such).
 
-    The table goes through a fresh index in ``batches`` ranges of doc_id; the result
-    does not depend on how many.
+    The table goes through a fresh index in ``batches`` ranges of doc_id, which is compacted whenever it has more than ``fan_out`` runs; the result
+    does not depend on either.
 
     * null, empty and short texts (under ``WINDOW`` words) lose nothing and keep their text.
     * rows with a null doc_id lose nothing and are no one's source.
@@ -340,7 +442,7 @@ def deduplicate(docs: DataFrame, batches: int = 2, id_col: str = "doc_id", text_
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     bounds = src.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10000).alias("q")).first()["q"] if batches > 1 else []
     edges = [None, *sorted(set(bounds or [])), None]
-    index, found = FingerprintIndex(spark), []
+    index, found = FingerprintIndex(spark, fan_out=fan_out, hot=hot), []
     for lo, hi in zip(edges[:-1], edges[1:]):
         part = src if lo is None else src.where(F.col("doc_id") > lo)
         found.append(index.ingest(part if hi is None else part.where(F.col("doc_id") <= hi)))
@@ -348,12 +450,13 @@ def deduplicate(docs: DataFrame, batches: int = 2, id_col: str = "doc_id", text_
     for h, d in found[1:]:
         hits, dead = hits.unionAll(h), dead.unionAll(d)
     gone = index.verify(src, hits, dead)
-    delete_path(spark, index.path)  # an index of this table alone
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "ranges").withColumnRenamed("ranges", "_ranges")
-    joined = docs.join(gone, [F.col(id_col).cast("long") == F.col("_id"), _text_hash(text_col) == F.col("_th")], "left")
-    joined = joined.select(*docs.columns, "_ranges")
-    schema = T.StructType([*docs.schema.fields, T.StructField("_n_words", T.LongType()), T.StructField("_n_removed", T.LongType())])
-    return joined.mapInArrow(_cut(docs.columns.index(text_col)), schema)
+    index.drop()  # an index of this table alone
+    key, th, ranges, n_words, n_removed = (free_name(n, docs.columns) for n in ("_id", "_th", "_ranges", "_n_words", "_n_removed"))
+    gone = gone.select(F.col("doc_id").alias(key), F.col("th").alias(th), F.col("ranges").alias(ranges))
+    joined = docs.join(gone, [F.col(id_col).cast("long") == F.col(key), _text_hash(text_col) == F.col(th)], "left")
+    joined = joined.select(*docs.columns, ranges)
+    schema = T.StructType([*docs.schema.fields, T.StructField(n_words, T.LongType()), T.StructField(n_removed, T.LongType())])
+    return map_batches(joined, _cut(docs.columns.index(text_col), [n_words, n_removed]), schema)
 
 
 def kept_digest(words: list[bytes]) -> str:

@@ -108,6 +108,8 @@ def test_language_edges(spark, data):
     kept = langid.keep_known(docs.unionByName(odd))
     assert kept.columns == docs.columns and kept.where("doc_id in (900, 901, 902)").count() == 0
     assert kept.count() >= docs.count() - 1
+    clash = docs.withColumn("_rejected", F.lit("x")).withColumn("_score", F.lit(True)).withColumn("__lang_pred", F.lit(1))
+    assert langid.keep_known(clash).columns == clash.columns and langid.keep_known(clash).count() >= docs.count() - 1
 
 
 def test_letters():

@@ -1,3 +1,7 @@
+import os
+
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tessera.llm import decontam, simhash, substring
 
@@ -34,3 +38,33 @@ def test_stages(spark, data):
     assert sorted(r.doc_id for r in clean) == sorted(r.doc_id for r in cut if not index.find(r.text))
     assert {r.doc_id for r in packed} == {r.doc_id for r in clean}
     assert corpus_pipeline.run(spark, data).count() == len(packed)
+
+
+def test_odd_rows(spark, data, tmp_path):
+    """Nulls, empty and long texts, ties, repeated rows, clashing columns, and empty tables."""
+    for name in os.listdir(data):
+        if name != "documents.parquet":
+            os.symlink(f"{data}/{name}", tmp_path / name)
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    some = docs.where("length(text) > 2000").orderBy("doc_id").first()
+    long = " ".join(f"{w}" for w in (some.text + " ").split()) + " " + "the of and to in " * 20000
+    odd = [(900001, None, "en"), (900002, "", None), (900003, " \n ", "en"), (900004, "12 34 !", "en"), (900005, long, "en"), (900006, some.text, "en"), (900006, some.text, "en"), (None, some.text, "en"), (None, None, None)]
+    rows = spark.createDataFrame([(d, t, la, None, None) for d, t, la in odd], docs.schema)
+    both = docs.unionByName(rows)
+    for name in ("_rejected", "_score", "_fp", "_id", "_th", "_ranges", "_n_words", "_n_removed", "_items", "items", "fp", "h", "part"):
+        both = both.withColumn(name, F.lit("x"))
+    both.write.parquet(str(tmp_path / "documents.parquet"))
+    at = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        before, at = at, substring.saved(stage(spark, at, str(tmp_path)), name)
+        if name != "best_fit_packing":
+            assert at.columns == before.columns and at.dtypes == before.dtypes
+    ids = {r.doc_id for r in at.collect()}
+    assert not ids & {900001, 900002, 900003, 900004, 900006, None}  # no letters; copies of an earlier text
+    for r in at.where("doc_id = 900005").groupBy("doc_id").agg(F.sum("length").alias("n")).collect():
+        assert r.n > 100000
+    empty = tmp_path / "empty"
+    empty.mkdir()
+    docs.limit(0).write.parquet(str(empty / "documents.parquet"))
+    os.symlink(f"{data}/benchmark.parquet", empty / "benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0

@@ -102,7 +102,7 @@ def test_edges(spark):
     got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
     assert got == sorted([(5, 3), (3, 3), (9, 3), (7, 7), (7, 7), (8, 7), (None, None), (2, 2)], key=str)
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
-    extra = spark.createDataFrame([(*r, 1, "k") for r in rows], SCHEMA + ", fp int, component_id string")
+    extra = spark.createDataFrame([(*r, 1, "k", 2, 3) for r in rows], SCHEMA + ", fp int, component_id string, _fp int, __fp int")
     kept = simhash.keep_one(extra)
     assert kept.columns == extra.columns
     assert sorted((str(r.doc_id) for r in kept.collect())) == ["2", "3", "7", "None"]

@@ -1,7 +1,11 @@
 import hashlib
+import os
 import random
 
+import numpy as np
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.llm import queries, substring
@@ -46,13 +50,13 @@ def corpus(seed):
     return rows + [(100, "w1 " * 300), (101, "w1 " * 120), (102, None), (103, ""), (None, rows[0][1]), rows[3], (rows[4][0], rows[5][1])]
 
 
-@pytest.mark.parametrize("batches", [1, 3])
-def test_against_brute_force(spark, batches):
+@pytest.mark.parametrize("batches,fan_out,hot", [(1, 8, 100), (3, 1, 100), (5, 2, 3), (4, 8, 2), (4, 1, 1)])
+def test_against_brute_force(spark, batches, fan_out, hot):
     rows = corpus(batches)
-    df = spark.createDataFrame([(*r, "x", 3) for r in rows], SCHEMA + ", ranges string, hits int")
-    got = substring.deduplicate(df, batches)
-    assert got.columns == [*df.columns, "_n_words", "_n_removed"]
-    have = sorted(((r.doc_id, r._n_words, r._n_removed, " ".join((r.text or "").split())) for r in got.collect()), key=str)
+    df = spark.createDataFrame([(*r, "x", 3, 1, 2, "r", 5) for r in rows], SCHEMA + ", ranges string, hits int, _id int, _th int, _ranges string, _n_words int")
+    got = substring.deduplicate(df, batches, fan_out, hot=hot)
+    assert got.columns == [*df.columns, "__n_words", "_n_removed"]
+    have = sorted(((r.doc_id, r["__n_words"], r._n_removed, " ".join((r.text or "").split())) for r in got.collect()), key=str)
     assert have == slow(rows)
 
 
@@ -79,6 +83,64 @@ def test_index_reopens_and_compacts(spark, tmp_path):
     assert kept == {2: [b"x", b"y"], 3: [b"z"]}
 
 
+def test_history_is_not_shuffled(spark, tmp_path):
+    """A merge with the runs, and a compaction, read bucket by bucket: no exchange."""
+    index = substring.FingerprintIndex(spark, f"file://{tmp_path}/index", buckets=5)
+    rows = corpus(9)[:60]
+    for lo in (0, 20, 40):
+        index.ingest(spark.createDataFrame([r for r in rows if lo <= r[0] < lo + 20], SCHEMA))
+    assert len(index.runs) == 3
+    slot = Window.partitionBy("slot")
+    plans = [
+        index._classes(index.segments.merged()).withColumn("mixed", F.max("s1").over(slot)),
+        index.copies.merged().groupBy("d1", "d2").agg(F.min("first")),
+    ]
+    for p in plans:
+        p.collect()
+        assert "Exchange" not in p._jdf.queryExecution().executedPlan().toString()
+        seen = p.select(*p.columns[:2]).collect()
+        assert len(seen) == len(set(seen))  # and yet each group is in one task
+    folder = index.segments.folder.removeprefix("file://")
+    files = [f for f in os.listdir(folder) if f.endswith(".parquet")]
+    assert 3 < len(files) <= 15  # one sorted file a run and bucket at most
+    for f in files:
+        t = pq.read_table(f"{folder}/{f}").to_pydict()
+        keys = list(zip(t["slot"], t["s1"], t["s2"]))
+        assert keys == sorted(keys) and len(set(t["run"])) == 1
+    before = sorted(tuple(r) for r in index._classes(index.segments.merged()).drop("fresh").collect())
+    index.compact()
+    assert len(index.runs) == 1 and sorted(tuple(r) for r in index._classes(index.segments.merged()).drop("fresh").collect()) == before
+    index.drop()
+
+
+def test_candidates_are_confirmed_on_words(spark, monkeypatch):
+    """With an index hash that collides all the time, only what the words have in common goes."""
+    rows = corpus(4)
+    weak = substring.Hashed.segments
+
+    def segments(self):
+        anchor, s1, s2, lo, hi = weak(self)
+        return anchor % np.uint64(7), s1 % np.uint64(50), s2 % np.uint64(1), lo, hi
+
+    monkeypatch.setattr(substring.Hashed, "segments", segments)
+    df = spark.createDataFrame(rows, SCHEMA)
+    index = substring.FingerprintIndex(spark)
+    hits, dead = index.ingest(df)
+    gone = {(r.doc_id, r.th): r.ranges for r in index.verify(df, hits, dead).collect()}
+    first = {}
+    for d, t in rows:
+        w = (t or "").split()
+        for i in range(len(w) - 49):
+            if d is not None:
+                first[tuple(w[i : i + 50])] = min(first.get(tuple(w[i : i + 50]), d), d)
+    text = {(r.doc_id, r.th): r.text for r in df.withColumn("th", substring._text_hash("text")).collect()}
+    for key, ranges in gone.items():
+        w = text[key].split()
+        for r in ranges:
+            for i in range(r.lo, r.hi + 1):
+                assert first[tuple(w[i : i + 50])] < key[0]
+
+
 def test_query_digest(spark, data):
     row = queries.op4_substring(spark, data).where(F.col("n_removed") == 0).first()
     text = spark.read.parquet(f"{data}/documents.parquet").where(F.col("doc_id") == row.doc_id).first().text
