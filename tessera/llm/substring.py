@@ -13,7 +13,7 @@ a *segment*, and the index keeps one entry per distinct segment:
   surroundings, documents become candidates.
 * Candidates are confirmed on their words: digests of the words themselves (``hashlib.blake2b``) of
   the whole segment, or of each window of it, must be equal.
-* When more than ``fan_out`` runs have gathered, they are compacted into one.
+* When ``fan_out`` runs have gathered, they are compacted into one before the next batch is merged.
 
 An anchor with more than ``HOT`` distinct segments is dealt to ``SALTS`` buckets by segment hash from then on, so no
 bucket grows with one passage that very many documents surround differently.  Documents that repeat an earlier document word for word are settled by a digest
@@ -41,7 +41,8 @@ ANCHOR = 10
 HOT, SALTS = 20_000, 64
 
 _MULT = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_MASK = (1 << 64) - 1
+#: Words or windows of one text digested at once.
+_PIECE = 1 << 16
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -81,7 +82,9 @@ class Hashed:
     def __init__(self, words: list[bytes]) -> None:
         n = self.n = len(words)
         digest = xxhash.xxh3_128_digest
-        h = np.frombuffer(b"".join([digest(w) for w in words]), np.uint64).reshape(n, 2)
+        h = np.empty((n, 2), np.uint64)
+        for at in range(0, n, _PIECE):
+            h[at : at + _PIECE] = np.frombuffer(b"".join([digest(w) for w in words[at : at + _PIECE]]), np.uint64).reshape(-1, 2)
         up, self.down = _POWERS.upto(n + 1)
         self.sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(h[:, k] * up[k][:n], dtype=np.uint64))) for k in (0, 1)]
 
@@ -132,8 +135,12 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _digest(line: bytes, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """(n, 2) longs: digests of the stretches of a text's words joined by one space."""
-    blake = hashlib.blake2b
-    return np.frombuffer(b"".join([blake(line[s:e], digest_size=16).digest() for s, e in zip(start.tolist(), stop.tolist())]), np.int64).reshape(-1, 2)
+    blake, out = hashlib.blake2b, np.empty((len(start), 2), np.int64)
+    for at in range(0, len(start), _PIECE):
+        piece = slice(at, at + _PIECE)
+        found = [blake(line[s:e], digest_size=16).digest() for s, e in zip(start[piece].tolist(), stop[piece].tolist())]
+        out[piece] = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
+    return out
 
 
 _MARKS = "doc_id long, th long, lo int, hi int, h1 long, h2 long"
@@ -238,10 +245,10 @@ class RunLog:
         """All rows, with their run."""
         return self.spark.table(self.table).where(F.col("run").isin(self.runs)) if self.runs else self.spark.createDataFrame([], f"run long, {self.schema}")
 
-    def merged(self) -> DataFrame:
-        """All rows, with a column ``fresh``: what the last run brought."""
-        last = F.col("run") == F.lit(self.runs[-1] if self.runs else -1)
-        return self.read().withColumn("fresh", last & F.col("fresh") if "fresh" in self.columns else last).drop("run")
+    def merged(self, last: int = 0) -> DataFrame:
+        """All rows, with a column ``fresh``: what the ``last`` runs brought."""
+        new = F.col("run").isin(self.runs[-last:]) if last else F.lit(False)
+        return self.read().withColumn("fresh", new & F.col("fresh") if "fresh" in self.columns else new).drop("run")
 
     def replace(self, rows: DataFrame, placed: bool) -> None:
         """``rows`` of a plan over the runs become the next generation's only run."""
@@ -266,7 +273,7 @@ class FingerprintIndex:
 
     Batches arrive in ascending doc_id order; an earlier document always wins.
     ``ingest`` appends a batch's run and returns what it has in common with the runs; ``verify``
-    turns that into the windows to remove.  An index of ``path`` that exists is opened, with its own number of buckets.
+    turns that into the windows to remove.  Before a batch comes to ``fan_out`` runs, these are compacted into one.  An index of ``path`` that exists is opened, with its own number of buckets.
     """
 
     _RUN = "slot long, s1 long, s2 long, anchor long, first long, last long, fresh boolean"
@@ -320,31 +327,28 @@ class FingerprintIndex:
         * (doc_id, s1, whole): segments to confirm, of this batch and of documents ingested before - as a whole, or window by window;
         * (doc_id, th, lo, hi): all windows of the documents that repeat an earlier one word for word.
         """
+        if len(self.runs) >= self.fan_out:
+            self.compact()
         keyed = batch.where("doc_id is not null").select("doc_id", _text_hash("text").alias("th"), "text")
         scan = self._saved(map_batches(keyed, _scan, _SCAN), "scan").where(F.col("n_words") >= WINDOW)
 
         self.copies.append(scan.groupBy("d1", "d2").agg(F.min("doc_id").alias("first")))
-        first = self.copies.merged().groupBy("d1", "d2").agg(F.min("first").alias("first"), F.max("fresh").alias("fresh")).where("fresh").drop("fresh")
+        first = self.copies.merged(1).groupBy("d1", "d2").agg(F.min("first").alias("first"), F.max("fresh").alias("fresh")).where("fresh").drop("fresh")
         first = self._saved(first, "texts")  # of this batch's texts
         rows = scan.select("doc_id", "th", "n_words", "d1", "d2").join(first, ["d1", "d2"])
-        dead = self._saved(rows.where("first < doc_id").select("doc_id", "th", F.lit(0).alias("lo"), (F.col("n_words") - WINDOW).cast("int").alias("hi")), "copied")
+        dead = rows.where("first < doc_id").select("doc_id", "th", F.lit(0).alias("lo"), (F.col("n_words") - WINDOW).cast("int").alias("hi"))
 
         alive = scan.join(first, [scan.d1 == first.d1, scan.d2 == first.d2, scan.doc_id == first["first"]], "left_semi")
         entries = self._saved(alive.select("doc_id", F.explode(F.arrays_zip("anchor", "s1", "s2")).alias("e")).select("e.anchor", "e.s1", "e.s2", "doc_id"), "entries")
         classes = entries.groupBy("anchor", "s1", "s2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-        classes = self._saved(classes.withColumn("fresh", F.lit(True)), "classes")
-        new_hot = self._new_hot(classes)
-        placed = self._placed(classes)
-        if new_hot is not None and self.runs:  # their earlier entries come along to the new slots
-            before = self.segments.read().drop("run").join(new_hot.select(F.col("anchor").alias("slot")), "slot", "left_semi")
-            placed = placed.select(*self.segments.columns).unionAll(before.withColumn("slot", self._salted()).withColumn("fresh", F.lit(False)).select(*self.segments.columns))
-        self.segments.append(placed)
+        self.segments.append(self._placed(classes.withColumn("fresh", F.lit(True))))
+        brought = 1 + self._split_hot()
 
         slot = Window.partitionBy("slot")
-        found = self._classes(self.segments.merged())
+        found = self._classes(self.segments.merged(brought))
         found = found.withColumn("mixed", (F.min("s1").over(slot) < F.max("s1").over(slot)) & F.max("fresh").over(slot))
         if self.hot_anchors.runs:  # a hot anchor has many surroundings, in whichever slot they are
-            hot = self.hot_anchors.read().select("anchor").join(classes.select("anchor").distinct(), "anchor", "left_semi")
+            hot = self.hot_anchors.read().select("anchor").join(entries.select("anchor").distinct(), "anchor", "left_semi")
             slots = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).select(self._salted(F.col("salt").cast("long")).alias("slot"), F.lit(True).alias("hot")).distinct()
             found = found.join(slots, "slot", "left").withColumn("mixed", F.col("mixed") | F.coalesce("hot", F.lit(False))).drop("hot")
         twice = (F.col("first") < F.col("last")) & F.col("fresh")
@@ -352,23 +356,20 @@ class FingerprintIndex:
         again = entries.select("s1", "s2", "doc_id").join(found.where("twice").select("s1", "s2", "first"), ["s1", "s2"])
         hits = again.select("doc_id", "s1", F.lit(True).alias("whole"))
         hits = hits.unionAll(found.where("twice").select(F.col("first").alias("doc_id"), "s1", F.lit(True))).unionAll(found.where("mixed").select("first", "s1", F.lit(False)))
-        hits = self._saved(hits, "hits")
-
-        if len(self.runs) > self.fan_out:
-            self.compact()
         release(self.spark)
         return hits, dead
 
-    def _new_hot(self, classes: DataFrame) -> DataFrame | None:
-        """Anchors that this batch shows to be hot (one in ``hot`` entries at most), added to those known; None if there are none."""
-        new = classes.groupBy("anchor").count().where(F.col("count") > self.hot)
-        if self.hot_anchors.runs:
-            new = new.join(self.hot_anchors.read().select("anchor"), "anchor", "left_anti")
-        new = self._saved(new, "hot")
+    def _split_hot(self) -> int:
+        """Anchors that the last run shows to be hot (one in ``hot`` entries at most) are known as such from now on; their entries,
+        the earlier ones too, come once more, in their new slots.  Returns the number of runs this adds."""
+        last = self.segments.merged(1).where("fresh")
+        new = last.where(F.col("slot") == F.col("anchor")).groupBy("slot").count().where(F.col("count") > self.hot)  # no exchange
         if new.isEmpty():
-            return None
-        self.hot_anchors.append(new)
-        return new
+            return 0
+        self.hot_anchors.append(new.select(F.col("slot").alias("anchor"), "count"))
+        moved = self.segments.merged(1).join(self.hot_anchors.merged(1).where("fresh").select(F.col("anchor").alias("slot")), "slot", "left_semi")
+        self.segments.append(moved.withColumn("slot", self._salted()))
+        return 1
 
     def verify(self, texts: DataFrame, hits: DataFrame, dead: DataFrame) -> DataFrame:
         """``texts`` (doc_id, text) of all documents that ``hits`` names -> (doc_id, th, ranges) of windows to remove.
@@ -396,15 +397,14 @@ class FingerprintIndex:
         delete_path(self.spark, self.path)
 
 
-def kept_words(words: list[bytes], ranges: list[dict] | None) -> list[bytes]:
-    """The words that no window start in ``ranges`` covers."""
-    if not ranges:
+def kept_words(words: list[bytes], lo: np.ndarray, hi: np.ndarray) -> list[bytes]:
+    """The words that no window covers which starts in one of the ranges ``lo`` to ``hi``."""
+    if not len(lo):
         return words
-    edge = np.zeros(len(words) + 1, np.int64)
-    lo, hi = np.array([(r["lo"], r["hi"]) for r in ranges]).T
-    np.add.at(edge, lo, 1)
-    np.add.at(edge, hi + WINDOW, -1)
-    return [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
+    n = len(words) + 1
+    edge = np.bincount(lo, minlength=n)
+    edge -= np.bincount(hi + WINDOW, minlength=n)
+    return [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()]
 
 
 def _cut(at: int, names: list[str]):
@@ -412,9 +412,14 @@ def _cut(at: int, names: list[str]):
         """Texts that lose words are rebuilt from the kept ones; all others stay as they are."""
         for b in batches:
             new, n_words, n_removed = [], [], []
-            for text, ranges in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
+            ranges = b.column(b.num_columns - 1)
+            lo, hi = (np.asarray(ranges.values.field(f)) for f in ("lo", "hi"))
+            edges = np.asarray(ranges.offsets)
+            for row, text in enumerate(b.column(at)):
+                text = text.as_py()
                 words = split_words(text)
-                keep = kept_words(words, ranges)
+                mine = slice(edges[row], edges[row + 1] if ranges[row].is_valid else edges[row])
+                keep = kept_words(words, lo[mine], hi[mine])
                 n_words.append(len(words))
                 n_removed.append(len(words) - len(keep))
                 new.append(b" ".join(keep).decode("utf-8", "surrogatepass") if len(keep) < len(words) else text)
@@ -427,10 +432,10 @@ def _cut(at: int, names: list[str]):
     return cut
 
 
-def deduplicate(docs: DataFrame, batches: int = 4, fan_out: int = 2, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+def deduplicate(docs: DataFrame, batches: int = 3, fan_out: int = 2, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """``docs`` with repeated windows cut out of the text, and two last columns ``_n_words`` and ``_n_removed`` (with more underscores, if ``docs`` has such).
 
-    The table goes through a fresh index in ``batches`` ranges of doc_id, which is compacted whenever it has more than ``fan_out`` runs; the result
+    The table goes through a fresh index in ``batches`` ranges of doc_id, which is compacted when it has ``fan_out`` runs; the result
     does not depend on either.
 
     * null, empty and short texts (under ``WINDOW`` words) lose nothing and keep their text.

@@ -16,53 +16,109 @@ def test_fold(spark):
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 5 for r in rows)
 
 
-def ssk(s, t, p=toxicity.P, decay=toxicity.DECAY):
-    """The subsequence kernel by definition."""
+def plain_words(text):
+    """Sentences of a text as lists of words (lists of codes), by the definition."""
+    import re
+
+    code = lambda c: ord(c) - 97 if "a" <= c <= "z" else 26 + ord(c) % 37
+    tokens = []  # letters of each token that has any, and whether a sentence ends before it
+    ended = False
+    for m in re.finditer(r"(\n)|(\S+)", text.lower()):
+        if m[1]:
+            ended = True
+            continue
+        have = "".join(c for c in m[2] if c.isalpha())
+        if have:
+            tokens.append([have, ended, False])
+            ended = False
+        ended = ended or m[2][-1] in ".!?"
+    i = 0
+    while i < len(tokens):  # runs of single letters are one word
+        j = i
+        while j < len(tokens) and len(tokens[j][0]) == 1:
+            j += 1
+        if j - i >= toxicity.SPACED:
+            tokens[i : j] = [["".join(t[0] for t in tokens[i:j]), tokens[i][1], True]]
+        i += 1
+    out = [[]]
+    for have, before, _ in tokens:
+        if before and out[-1]:
+            out.append([])
+        for k in range(0, len(have), toxicity.PIECE):
+            out[-1].append(([toxicity._START] if k == 0 else []) + [code(c) for c in have[k : k + toxicity.PIECE]])
+    return out
+
+
+def kernel(s, t):
+    """The subsequence kernel by definition, over the norms of strings of these lengths."""
     import itertools
 
     def features(x):
         out = {}
-        for at in itertools.combinations(range(len(x)), p):
-            u = tuple(x[i] for i in at)
-            out[u] = out.get(u, 0) + decay ** (at[-1] - at[0] + 1)
+        for at in itertools.combinations(range(len(x)), toxicity.P):
+            if at[-1] - at[0] < toxicity.SPAN:
+                u = tuple(x[i] for i in at)
+                out[u] = out.get(u, 0) + toxicity.DECAY ** (at[-1] - at[0] + 1)
         return out
 
-    a, b = features("^" + s), features("^" + t)
-    return sum(v * b.get(u, 0) for u, v in a.items())
+    def norm(n):
+        return np.sqrt(sum(toxicity.DECAY ** (2 * (at[-1] - at[0] + 1)) for at in itertools.combinations(range(n), toxicity.P) if at[-1] - at[0] < toxicity.SPAN) + toxicity.DAMPING)
+
+    a, b = features(s), features(t)
+    return sum(v * b.get(u, 0) for u, v in a.items()) / norm(len(s)) / norm(len(t))
 
 
-@pytest.mark.parametrize("s,t", [("idiot", "idiot"), ("idiot", "idxiot"), ("moron", "oronth"), ("aaaa", "aaa"), ("ab", "abc")])
+@pytest.mark.parametrize("s,t", [("idiot", "idiot"), ("idiot", "idxiot"), ("moron", "oronth"), ("aaaa", "aaa"), ("abc", "abcd"), ("abcdefghijklmno", "aceg")])
 def test_kernel(s, t):
-    f = toxicity.explicit([s, t])
-    want = ssk(s, t) / np.sqrt((ssk(s, s) + toxicity.DAMPING) * (ssk(t, t) + toxicity.DAMPING))
-    assert f[0] @ f[1] == pytest.approx(want)
-    assert toxicity.against([s], f[1:])[0, 0] == pytest.approx(want)
+    s, t = (bytes([toxicity._START, *(ord(c) - 97 for c in x)]) for x in (s, t))
+    assert toxicity.Landmarks([t, s]).against([s])[0, 0] == pytest.approx(kernel(s, t))
 
 
-def bags(rng, n, share):
+def toxic_docs(rng, n, share):
     syllables = ["ta", "re", "on", "li", "mo", "en", "sur", "pa", "ti", "ver"]
     word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 3)))
     out = []
     for i in range(n):
         bad = i < n * share
-        text = [word() for _ in range(rng.randint(5, 60))]
+        text = [word() + rng.choice(["", "", "", ".", "\n", ","]) for _ in range(rng.randint(5, 60))]
         if bad:
-            text[rng.randrange(len(text)) :] = [rng.choice(["zgrubble", "fnork", "kwazzig"])]
-        out.append((sorted(toxicity.units(" ".join(text))), int(bad)))
+            text.insert(rng.randrange(len(text)), rng.choice(["zgrubble", "fnork", "kwazzig", "boil yourhead"]))
+        out.append((" ".join(text), int(bad)))
+    rng.shuffle(out)
     return out
 
 
-def test_training_finds_gapped_insults():
-    rng = random.Random(1)
-    data = bags(rng, 600, 0.2)
-    m = toxicity.train(*map(list, zip(*data)))
-    score = lambda t: m.probability(max(m.margins(sorted(toxicity.units(t))), default=m.bias))
-    for t in ("ta zgrubble on", "ta z-g-r-u-b-b-l-e", "re f.n.o.r.k!", "ON KWAZZIG", "z g r u b b l e ta", "ta kwazxzig"):
+@pytest.fixture(scope="module")
+def toxic_model():
+    data = toxic_docs(random.Random(1), 600, 0.2)
+    return toxicity.train([toxicity.spelled(t) for t, _ in data], [y for _, y in data])
+
+
+def test_training_finds_gapped_insults(toxic_model):
+    score = lambda t: toxic_model.probabilities([t])[0]
+    for t in ("ta zgrubble on", "ta z-g-r-u-b-b-l-e", "re f.n.o.r.k!", "ON KWAZZIG", "z g r u b b l e ta", "ta kwazxzig", "ta zgru bble on", "on boil yourhead"):
         assert score(t) >= 0.5, t
     for t in ("ta re on", "patimoverta surenta", "", "!!! 123", "a b c"):
         assert score(t) < 0.5, t
 
 
+def test_scores_are_the_direct_kernels(toxic_model):
+    """Whole scores: the calibrated highest sum, over the spans of the sentences, of the kernel with each landmark."""
+    m = toxic_model
+    texts = [t for t, _ in toxic_docs(random.Random(5), 12, 0.5)] + ["", "i d i o t", "A.b c, d e f g.\nh i", "x" * 35 + " zgru. bble", "Été où? ñandú\u3042\u3044 z", "a\x00bcd efg", "one two... three! four"]
+    want = []
+    for t in texts:
+        best = m.bias if not any(plain_words(t)) else -np.inf
+        for ws in plain_words(t):
+            for span in [*ws, *(a + b for a, b in zip(ws, ws[1:]))]:
+                best = max(best, m.bias + sum(a * kernel(bytes(span), z) for a, z in zip(m.alpha, m.landmarks)))
+        want.append(m.curve(best))
+    assert m.probabilities(texts) == pytest.approx(want, abs=1e-4)
+    for t in texts:
+        mine = {bytes(x) for ws in plain_words(t) for x in [*ws, *(a + b for a, b in zip(ws, ws[1:]))]}
+        assert toxicity.spans(toxicity.spelled(t)) == mine
+
+
 def test_toxicity_rows(spark, data):
     docs, labels = (spark.read.parquet(f"{data}/{n}.parquet") for n in ("documents", "labels"))
     odd = spark.createDataFrame([(100000, None, "en"), (100001, "", "en"), (100002, "x" * 200000, "en"), (None, "no id", None), (100000, None, "en")], DOCS)
@@ -81,7 +137,7 @@ def test_toxicity_held_out(spark):
     p = toxicity.classify(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
     rank, y = p["score"].rank().to_numpy(), p["toxic"].to_numpy()
     auc = (rank[y == 1].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (len(y) - y.sum()))
-    assert auc > 0.9 and (p["predicted"] == p["toxic"]).mean() > 0.92
+    assert auc > 0.92 and (p["predicted"] == p["toxic"]).mean() > 0.95
 
 
 def test_language_held_out(spark):
