@@ -1,5 +1,6 @@
 import random
 import zlib
+from dataclasses import replace as dataclasses_replace
 
 import numpy as np
 import pytest
@@ -228,6 +229,80 @@ def test_wrapped_licenses():
     assert names(bsd.replace("with or without", "\n\n")) == [] and names("the license of\nan old street\nwas released by it") == []
 
 
+MIT = """Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+BSD = """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are met:
+ *
+ * 1. Redistributions of source code must retain the above copyright notice, this
+ *    list of conditions and the following disclaimer.
+ *
+ * 2. Redistributions in binary form must reproduce the above copyright notice,
+ *    this list of conditions and the following disclaimer in the documentation
+ *    and/or other materials provided with the distribution."""
+ISC = """// Permission to use, copy, modify, and/or distribute this software for any
+// purpose with or without fee is hereby granted, provided that the above
+// copyright notice and this permission notice appear in all copies."""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty.  In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:"""
+
+
+@pytest.fixture(scope="module")
+def license_model():
+    rng = random.Random(3)
+    usual = "the of and to in is was on that it for as with be by this are or an not at from which but have they you all any may free use copy under made work terms".split()
+    return licenses.train([[rng.choice(usual) for _ in range(rng.randint(4, 40))] for _ in range(1500)])
+
+
+def test_full_texts(license_model):
+    names = lambda t: sorted({k for k, _ in license_model.scan(t)})
+    assert [names(t) for t in (MIT, BSD, ISC, ZLIB)] == [["MIT"], ["BSD"], ["ISC"], ["Zlib"]]
+    assert names(MIT.replace("\n\n", "\0").replace("\n", " ").replace("\0", "\n\n")) == ["MIT"]  # a paragraph a line
+    assert names("This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\nwhich accompanies this distribution") == ["EPL"]
+    assert names("# Distributed under the Boost Software License, Version 1.0.") == ["BSL-1.0"]
+    assert names(MIT + "\n\n" + ZLIB) == ["MIT", "Zlib"]
+    assert names("you may use this work free of the terms that are made with it, and it is by any use of copy or work that they have") == []
+
+
+def test_what_is_looked_at_first_loses_nothing(license_model, spark, data):
+    """The scan against one that classifies every stretch and every run of lines."""
+    slow = dataclasses_replace(license_model, signal=license_model.known)
+    texts = [r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()] + [MIT, BSD, ISC, ZLIB]
+    texts += ["\n".join(t) for k in licenses.TEMPLATES.values() for t in (k, k[::-1])]
+    texts += [f"so it was {t.lower()} of that" for k in licenses.TEMPLATES.values() for t in k]
+    assert [license_model.scan(t) for t in texts] == [slow.scan(t) for t in texts]
+
+
+def test_license_rows_and_ties(spark, license_model):
+    rows = [(1, MIT), (1, MIT), (2, "Released under the MIT License.\n\nReleased under the BSD license."), (None, "Licensed under the ISC License.")]
+    got = [(r.doc_id, r.licenses, r.n_notices) for r in licenses.scan(spark.createDataFrame([(*r, "x", 1.0) for r in rows], "doc_id long, text string, n_notices string, probability double")).collect()]
+    assert got[0] == got[1] and got[0][1] == "MIT" and got[2][1:] == ("BSD,MIT", 2) and got[3][:2] == (None, "ISC")
+    even = dataclasses_replace(license_model, weights=np.zeros_like(license_model.weights))
+    assert even.classify(licenses.line_words("Released under the MIT License."))[0] == licenses.UNKNOWN  # nothing is sure
+
+
 def test_licenses_on_the_corpus(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
     got = licenses.scan(docs).join(docs, "doc_id")
