@@ -3,7 +3,8 @@
 Rows of both sides carry a key (a tile, a list, a cluster).  Rows meet if their keys are
 equal.  Sides of a key larger than ``rows_per_block`` are cut into blocks and every
 block of one side meets every block of the other, so that no group grows
-with its key's size.  A group is one matrix product in a Python worker, and only
+with its key's size.  A row is copied once for each block it meets, so blocks are large; a group is worked through in
+strips of b rows, one matrix product each, so the memory of its distances is that of a strip.  Only
 what the kernel keeps leaves it.
 """
 
@@ -14,11 +15,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows a side in one group: its distance matrix takes 8 * rows ** 2 bytes.
-ROWS_PER_BLOCK = 4096
+#: Most and fewest rows a side in one group.  Within these, blocks are as large as leave three groups for each task slot.
+ROWS_PER_BLOCK, FEWEST = 32_768, 4096
+#: Distances of one strip.
+STRIP = 1 << 22
+#: Keys whose sizes are sent to the executors; more are joined.
+MAX_KEYS = 200_000
 PAIRS = "a_idx long, b_idx long, dist double"
 
 
@@ -59,6 +64,7 @@ class Tile:
 
 #: Kernels give places in A and in B, and exact distances.
 Found = tuple[np.ndarray, np.ndarray, np.ndarray]
+#: A kernel treats each b row by itself, so it may be run on strips of them.
 Kernel = Callable[[Tile], Found]
 
 
@@ -125,22 +131,50 @@ def _matrix(t: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
     return ids, flat.reshape(len(ids), -1).astype(np.float64)
 
 
-def block_join(a: DataFrame, b: DataFrame, kernel: Kernel, rows_per_block: int = ROWS_PER_BLOCK, triangle: bool = False, self_join: bool = False) -> DataFrame:
+def block_rows(spark: SparkSession, n: int, m: int) -> int:
+    """Rows a block for sides of ``n`` and ``m`` rows under one key."""
+    return int(min(ROWS_PER_BLOCK, max(FEWEST, (n * m / (3 * max(1, spark.sparkContext.defaultParallelism))) ** 0.5)))
+
+
+def strips(tile: Tile, kernel: Kernel) -> Found:
+    """The kernel over strips of b rows."""
+    rows = max(1, STRIP // max(1, len(tile.a)))
+    parts = []
+    for lo in range(0, len(tile.b), rows):
+        i, j, d = kernel(Tile(tile.a, tile.A, tile.b[lo : lo + rows], tile.B[lo : lo + rows]))
+        parts.append((i, j + lo, d))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+#: How cluster pairs are written as keys.
+PAIR_KEY = 1 << 31
+
+
+def block_join(a: DataFrame, b: DataFrame, kernel: Kernel, rows_per_block: int | None = None, triangle: bool = False, self_join: bool = False, cluster_pairs: bool = False, keep_key: bool = False) -> DataFrame:
     """(a_idx, b_idx, dist) of what the kernel keeps of each block pair.
 
     ``triangle``: both sides are the same rows under one key; each pair of blocks meets once.
     ``self_join``: pairs are given as a_idx > b_idx and none with itself.
+    ``cluster_pairs``: keys are ``i * PAIR_KEY + j`` of clusters of the same rows, each pair of clusters once: pairs are given
+    as a_idx > b_idx, of a cluster with itself each once.
+    ``keep_key``: the key is a last column.
+    ``rows_per_block``: see ``block_rows`` where it is absent.
     """
-    blocks_of = lambda n: F.ceil(n / rows_per_block).cast("int")
+    most = rows_per_block or ROWS_PER_BLOCK
+    blocks_of = lambda n: F.ceil(n / most).cast("int")
     if a.schema["key"].metadata.get("one") and b.schema["key"].metadata.get("one"):
         # one key: a count a side, and no join that would be one on a constant
         n = a.count()
         m = n if triangle else b.count()
+        most = rows_per_block or block_rows(a.sparkSession, n, m)
         left, right = (df.withColumn("na", blocks_of(F.lit(max(1, n)))).withColumn("nb", blocks_of(F.lit(max(1, m)))) for df in (a, b))
     else:
         na = a.groupBy("key").agg(blocks_of(F.count(F.lit(1))).alias("na"))
         nb = na.withColumnRenamed("na", "nb") if triangle else b.groupBy("key").agg(blocks_of(F.count(F.lit(1))).alias("nb"))
         sizes = na.join(nb, "key")
+        few = sizes.select("key", "na", "nb").limit(MAX_KEYS + 1).collect()
+        if len(few) <= MAX_KEYS:  # three numbers a key, and no shuffle of the vectors for a count
+            sizes = F.broadcast(a.sparkSession.createDataFrame(few, "key long, na int, nb int"))
         left, right = a.join(sizes, "key"), b.join(sizes, "key")
     block = lambda name, n: F.pmod(F.xxhash64(f"{name}_idx"), F.col(n)).cast("int")
     left = left.withColumn("i", block("a", "na"))
@@ -150,17 +184,26 @@ def block_join(a: DataFrame, b: DataFrame, kernel: Kernel, rows_per_block: int =
 
     def run(x: pa.Table, y: pa.Table) -> pa.Table:
         if not len(x) or not len(y):
-            return _table([], [], [])
+            return keyed(_table([], [], []), 0)
         tile = Tile(*_matrix(x, "a_idx"), *_matrix(y, "b_idx"))
-        i, j, d = kernel(tile)
+        i, j, d = strips(tile, kernel)
         ia, ib = tile.a[i], tile.b[j]
+        if cluster_pairs:
+            one, other = divmod(x.column("key")[0].as_py(), PAIR_KEY)
+            if one != other:
+                ia, ib = np.maximum(ia, ib), np.minimum(ia, ib)
+            keep = ia > ib
+            ia, ib, d = ia[keep], ib[keep], d[keep]
         if self_join:
             if triangle and x.column("i")[0].as_py() != x.column("j")[0].as_py():
                 ia, ib = np.maximum(ia, ib), np.minimum(ia, ib)
             keep = ia > ib
             ia, ib, d = ia[keep], ib[keep], d[keep]
-        return _table(ia, ib, d)
+        return keyed(_table(ia, ib, d), x.column("key")[0].as_py())
+
+    def keyed(t: pa.Table, key: int) -> pa.Table:
+        return t.append_column("key", pa.array(np.full(len(t), key, np.int64))) if keep_key else t
 
     cols = ["key", "i", "j"]
     grouped = left.select(*cols, "a_idx", "v").groupBy(*cols).cogroup(right.select(*cols, "b_idx", "v").groupBy(*cols))
-    return grouped.applyInArrow(run, PAIRS)
+    return grouped.applyInArrow(run, f"{PAIRS}, key long" if keep_key else PAIRS)

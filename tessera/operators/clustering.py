@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.vectors import sqdist
-from tessera.operators.blocks import block_join, nearest, side
+from tessera.operators.blocks import PAIR_KEY, block_join, nearest, side
+from tessera.storage import delete_path, new_path, saved
 
 MAX_SENT = 256 << 20
 _ROWS = 2048
@@ -125,19 +126,29 @@ def probes(vectors: DataFrame, centroids: DataFrame, n: int) -> DataFrame:
     )
 
 
-def candidates(vectors: DataFrame, centroids: DataFrame, k: int, n_probes: int | None = None) -> DataFrame:
+def candidates(vectors: DataFrame, centroids: DataFrame, k: int, n_probes: int | None = None, within: str | None = None) -> DataFrame:
     """(centroid_id, rank, a_idx, dist): each centroid's ``k`` nearest vectors.
 
     ``n_probes``: searched only in the inverted lists of the centroid's ``n_probes`` nearest centroids.
+    ``within``: a column of ``vectors`` (a tile, a cluster: numbers under 2**31); each of its values has its own ``k`` nearest, and comes first in the result.
     """
     c = centroids.select(F.col("centroid_id").cast("long").alias("vec_id"), F.col("centroid").cast("array<double>").alias("embedding"))
-    if n_probes is None:
-        found = block_join(side(vectors, "a"), side(c, "b"), nearest(k))
+    part = F.lit(0) if within is None else F.col(within)
+    rows = vectors.withColumn("_part", part.cast("long"))
+    row = rows.agg(F.min("_part").alias("lo"), F.max("_part").alias("hi")).first() if within is not None else {"lo": 0, "hi": 0}
+    if n_probes is not None:
+        rows, c = assign(rows, centroids), probes(c, centroids, n_probes)
+    lists = F.lit(0) if n_probes is None else F.col("centroid_id")
+    asked = c.withColumn("_part", F.explode(F.sequence(F.lit(row["lo"] or 0).cast("long"), F.lit(row["hi"] or 0).cast("long"))))
+    if within is None and n_probes is None:
+        found = block_join(side(rows, "a"), side(c, "b"), nearest(k)).withColumn("_part", F.lit(0).cast("long"))
     else:
-        found = block_join(side(assign(vectors, centroids), "a", "centroid_id"), side(probes(c, centroids, n_probes), "b", "centroid_id"), nearest(k))
-    w = Window.partitionBy("b_idx").orderBy("dist", "a_idx")
+        left, right = (x.withColumn("_key", F.col("_part") * PAIR_KEY + lists) for x in (rows, asked))
+        found = block_join(side(left, "a", "_key"), side(right, "b", "_key"), nearest(k), keep_key=True).withColumn("_part", F.floor(F.col("key") / PAIR_KEY))
+    w = Window.partitionBy("_part", "b_idx").orderBy("dist", "a_idx")
     top = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return top.select(F.col("b_idx").cast("int").alias("centroid_id"), "rank", "a_idx", "dist")
+    out = top.select("_part", F.col("b_idx").cast("int").alias("centroid_id"), "rank", "a_idx", "dist")
+    return out.drop("_part") if within is None else out.withColumnRenamed("_part", within)
 
 
 def centroid_distances(centroids: DataFrame) -> DataFrame:
@@ -198,7 +209,8 @@ def balanced_assign(vectors: DataFrame, centroids: DataFrame, choices: int = 10,
     Rows rank their ``choices`` nearest centroids, and behind them all clusters by id.  Rows nearer to their
     first choice go first (ties: smaller vec_id).  As all clusters prefer rows in that one order, serving the rows one by
     one equals deferred acceptance: each round every row without a place asks its next choice and each cluster keeps the
-    first ``capacity`` of those it holds and those that ask.
+    first ``capacity`` of those it holds and those that ask.  A row carries its few choices and a counter; each round is written to
+    the shared folder, and the one before it deleted.
     """
     spark = vectors.sparkSession
     ids = sorted(r["centroid_id"] for r in centroids.select("centroid_id").collect())
@@ -207,29 +219,31 @@ def balanced_assign(vectors: DataFrame, centroids: DataFrame, choices: int = 10,
     if not n or not ids:
         return vectors.limit(0).withColumn("cluster", F.lit(None).cast("int"))
     capacity = -(-n // len(ids))
-    ranked = rank_centroids(rows, centroids, min(choices, len(ids)))
-    every = F.array(*map(F.lit, ids))
-    wish = F.concat(F.transform("ranked", lambda e: e["centroid_id"]), every)
-    state = ranked.select("vec_id", F.col("ranked")[0]["dist"].alias("first"), wish.alias("wish"), F.lit(0).alias("at"))
-    reliable = spark.sparkContext.getConf().get("spark.checkpoint.dir") is not None or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-    cut = (lambda df: df.checkpoint()) if reliable else (lambda df: df.persist())
+    few = min(choices, len(ids))
+    ranked = rank_centroids(rows, centroids, few)
+    state = ranked.select("vec_id", F.col("ranked")[0]["dist"].alias("first"), F.transform("ranked", lambda e: e["centroid_id"]).alias("wish"), F.lit(0).alias("at"))
+    dense = ids == list(range(len(ids)))
+    beyond = (F.col("at") - few).cast("int") if dense else F.array(*map(F.lit, ids))[F.col("at") - few]
+    asks = F.when(F.col("at") < few, F.col("wish")[F.least("at", F.lit(few - 1))]).otherwise(beyond)
     w = Window.partitionBy("cluster").orderBy("first", "vec_id")
+    path = None
     for _ in range(max_rounds):
-        asked = state.withColumn("cluster", F.col("wish")[F.col("at")])
-        placed = cut(asked.withColumn("rank", F.row_number().over(w)))
-        if placed.where(F.col("rank") > capacity).isEmpty():
+        old, path = path, new_path(spark, "balanced")
+        placed = saved(state.withColumn("cluster", asks).withColumn("over", F.row_number().over(w) > capacity), "balanced", path)
+        if old:
+            delete_path(spark, old)
+        if placed.where("over").isEmpty():
             return rows.join(placed.select("vec_id", "cluster"), "vec_id")
-        state = placed.select("vec_id", "first", "wish", (F.col("at") + (F.col("rank") > capacity).cast("int")).alias("at"))
+        state = placed.select("vec_id", "first", "wish", (F.col("at") + F.col("over").cast("int")).alias("at"))
     raise RuntimeError("assignment did not settle")
 
 
 def cluster_join(a: DataFrame, b: DataFrame | None, scheduled: DataFrame, kernel, rows_per_block: int | None = None) -> DataFrame:
-    """Runs a block kernel on the scheduled cluster pairs; ``a`` and ``b`` carry ``cluster``.  Self-join pairs are oriented."""
-    tiles = scheduled.select("i", "j").withColumn("key", F.xxhash64("i", "j"))
+    """Runs a block kernel on the scheduled cluster pairs; ``a`` and ``b`` carry ``cluster``.
+
+    In a self-join a row is in one cluster and each pair of clusters is scheduled once, so pairs are found once; they come out as a_idx > b_idx.
+    """
+    tiles = scheduled.select("i", "j").withColumn("key", F.col("i").cast("long") * PAIR_KEY + F.col("j"))
     left = a.join(tiles, F.col("cluster") == F.col("i")).drop("cluster")
     right = (a if b is None else b).join(tiles, F.col("cluster") == F.col("j")).drop("cluster")
-    more = {} if rows_per_block is None else {"rows_per_block": rows_per_block}
-    found = block_join(side(left, "a", "key"), side(right, "b", "key"), kernel, **more)
-    if b is None:
-        found = found.where("a_idx <> b_idx").select(F.greatest("a_idx", "b_idx").alias("a_idx"), F.least("a_idx", "b_idx").alias("b_idx"), "dist").dropDuplicates(["a_idx", "b_idx"])
-    return found
+    return block_join(side(left, "a", "key"), side(right, "b", "key"), kernel, rows_per_block, cluster_pairs=b is None)

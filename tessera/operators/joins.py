@@ -10,11 +10,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import sqdist
-from tessera.operators.blocks import ROWS_PER_BLOCK, block_join, closest, nearest, side, within
+from tessera.operators.blocks import block_join, closest, nearest, side, within
 from tessera.operators.clustering import assign, candidates, probes
 
 
-def threshold_join(a: DataFrame, b: DataFrame | None, threshold: float, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+#: Pairs of rows up to which a nested loop is run.
+NESTED = 100_000_000
+#: Tiles that b rows may be dealt to.
+MAX_TILES = 1_000_000
+
+
+def threshold_join(a: DataFrame, b: DataFrame | None, threshold: float, rows_per_block: int | None = None) -> DataFrame:
     """All pairs within ``threshold``, exactly; ``b`` None: a with itself."""
     if b is None:
         return block_join(side(a, "a"), side(a, "b"), within(threshold), rows_per_block, triangle=True, self_join=True)
@@ -22,7 +28,10 @@ def threshold_join(a: DataFrame, b: DataFrame | None, threshold: float, rows_per
 
 
 def threshold_join_native(a: DataFrame, b: DataFrame | None, threshold: float) -> DataFrame:
-    """The same by a nested loop of column expressions: for small inputs and as a cross-check."""
+    """The same by a nested loop of column expressions: a cross-check for at most ``NESTED`` pairs of rows; more go the other way."""
+    n = a.count()
+    if n * (n if b is None else b.count()) > NESTED:
+        return threshold_join(a, b, threshold)
     x, y = side(a, "a").drop("key"), side(a if b is None else b, "b").drop("key").withColumnRenamed("v", "w")
     near = sqdist("v", "w") <= threshold
     cond = (F.col("a_idx") > F.col("b_idx")) & near if b is None else near
@@ -34,7 +43,7 @@ def _top(pairs: DataFrame, k: int, *by: str) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def knn_join(a: DataFrame, b: DataFrame | None, k: int, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+def knn_join(a: DataFrame, b: DataFrame | None, k: int, rows_per_block: int | None = None) -> DataFrame:
     """(b_idx, rank, a_idx, dist): each b row's ``k`` nearest a rows; a self-join leaves a row's own id out."""
     found = block_join(side(a, "a"), side(a if b is None else b, "b"), nearest(k + (b is None)), rows_per_block)
     if b is None:
@@ -42,54 +51,83 @@ def knn_join(a: DataFrame, b: DataFrame | None, k: int, rows_per_block: int = RO
     return _top(found, k, "b_idx").select("b_idx", "rank", "a_idx", "dist")
 
 
-def tile_knn_threshold(a: DataFrame, b: DataFrame | None, k: int, threshold: float, tile_rows: int | None = None, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+def tile_of(column: str, tile_rows: int | None):
+    return F.lit(0).cast("long") if tile_rows is None else F.floor(F.col(column) / tile_rows)
+
+
+def dealt_to_tiles(rows: DataFrame, a: DataFrame, tile_rows: int, own_and_later: bool) -> DataFrame:
+    """``rows`` once for each tile of a, in ``_tile``; ``own_and_later``: only the tiles from the row's own on.
+
+    Tiles are ranges of ``tile_rows`` ids.  Ids without large gaps need two numbers of a; others its tiles, ``MAX_TILES`` at most.
+    """
+    tiles = a.select(tile_of("vec_id", tile_rows).alias("t")).where("t is not null")
+    row = tiles.agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.approx_count_distinct("t").alias("n")).first()
+    if row["lo"] is None:
+        return rows.withColumn("_tile", F.lit(0).cast("long")).limit(0)
+    mine = tile_of("vec_id", tile_rows)
+    if row["hi"] - row["lo"] < 2 * row["n"] + 8:
+        lo, hi = F.lit(row["lo"]).cast("long"), F.lit(row["hi"]).cast("long")
+        first = F.greatest(mine, lo) if own_and_later else lo
+        each = F.when(first <= hi, F.sequence(first, hi))
+    else:
+        held = sorted(r["t"] for r in tiles.distinct().limit(MAX_TILES + 1).collect())
+        if len(held) > MAX_TILES:
+            raise ValueError(f"more than {MAX_TILES} tiles: use larger ones")
+        each = F.array(*map(F.lit, held)).cast("array<bigint>")
+        each = F.filter(each, lambda t: t >= mine) if own_and_later else each
+    return rows.withColumn("_tile", F.explode(each))
+
+
+def tile_knn_threshold(a: DataFrame, b: DataFrame | None, k: int, threshold: float, tile_rows: int | None = None, rows_per_block: int | None = None) -> DataFrame:
     """Each b row's ``k`` nearest in every tile of a, then those within ``threshold``, then (self-join) a_idx > b_idx.
 
     ``k`` counts the row itself and its mirrored neighbours, so the result depends on the tiles, which
     are ranges of ``tile_rows`` ids (None: one tile).  A self-join visits tiles not before the row's own.
     """
-    tile = F.lit(0) if tile_rows is None else F.floor(F.col("vec_id") / tile_rows)
-    left = side(a.withColumn("_tile", tile), "a", "_tile")
     other = a if b is None else b
     if tile_rows is None:
-        right = side(other, "b")
+        left, right = side(a, "a"), side(other, "b")
     else:
-        tiles = [r["key"] for r in left.select("key").distinct().orderBy("key").collect()]  # one value a tile
-        each = F.array(*map(F.lit, tiles)).cast("array<bigint>")
-        mine = F.floor(F.col("vec_id") / tile_rows)
-        right = side(other.withColumn("_tile", F.explode(F.filter(each, lambda t: t >= mine) if b is None else each)), "b", "_tile")
+        left = side(a.withColumn("_tile", tile_of("vec_id", tile_rows)), "a", "_tile")
+        right = side(dealt_to_tiles(other, a, tile_rows, b is None), "b", "_tile")
     found = block_join(left, right, nearest(k), rows_per_block)
-    at = F.lit(0) if tile_rows is None else F.floor(F.col("a_idx") / tile_rows)
-    best = _top(found.withColumn("_tile", at), k, "b_idx", "_tile").where(F.col("dist") <= threshold)
+    best = _top(found.withColumn("_tile", tile_of("a_idx", tile_rows)), k, "b_idx", "_tile").where(F.col("dist") <= threshold)
     best = best.where("a_idx > b_idx") if b is None else best
     return best.select("a_idx", "b_idx", "dist")
 
 
-def ivf_join(a: DataFrame, b: DataFrame | None, centroids: DataFrame, k: int, n_probes: int, threshold: float, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+def _list_key(rows: DataFrame, tiled: bool) -> DataFrame:
+    return rows.withColumn("_list", F.xxhash64("_tile", "centroid_id") if tiled else F.col("centroid_id"))
+
+
+def ivf_join(a: DataFrame, b: DataFrame | None, centroids: DataFrame, k: int, n_probes: int, threshold: float, rows_per_block: int | None = None, tile_rows: int | None = None) -> DataFrame:
     """Inverted lists: a rows in their nearest centroid's list; b rows look into ``n_probes`` lists.
 
-    Then the ``k`` nearest found, the threshold, and (self-join) a_idx > b_idx.
+    Then the ``k`` nearest found in each tile of a (ranges of ``tile_rows`` ids; None: one tile), the threshold, and (self-join) a_idx > b_idx.
     """
-    lists = side(assign(a, centroids), "a", "centroid_id")
-    asked = side(probes(a if b is None else b, centroids, n_probes), "b", "centroid_id")
-    found = _top(block_join(lists, asked, nearest(k), rows_per_block), k, "b_idx").where(F.col("dist") <= threshold)
+    lists, asked = assign(a, centroids), probes(a if b is None else b, centroids, n_probes)
+    if tile_rows is not None:
+        lists, asked = lists.withColumn("_tile", tile_of("vec_id", tile_rows)), dealt_to_tiles(asked, a, tile_rows, b is None)
+    lists, asked = (_list_key(x, tile_rows is not None) for x in (lists, asked))
+    found = block_join(side(lists, "a", "_list"), side(asked, "b", "_list"), nearest(k), rows_per_block)
+    found = _top(found.withColumn("_tile", tile_of("a_idx", tile_rows)), k, "b_idx", "_tile").where(F.col("dist") <= threshold)
     found = found.where("a_idx > b_idx") if b is None else found
     return found.select("a_idx", "b_idx", "dist")
 
 
-def centroid_join(a: DataFrame, b: DataFrame | None, centroids: DataFrame, k_db: int, threshold: float, n_probes: int | None = None, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    """b rows at their nearest centroid meet that centroid's ``k_db`` nearest a rows; pairs within ``threshold``.
+def centroid_join(a: DataFrame, b: DataFrame | None, centroids: DataFrame, k_db: int, threshold: float, n_probes: int | None = None, rows_per_block: int | None = None, tile_rows: int | None = None) -> DataFrame:
+    """b rows at their nearest centroid meet that centroid's ``k_db`` nearest rows of each tile of a; pairs within ``threshold``.
 
-    ``n_probes``: the centroids' candidates are searched in inverted lists instead of exactly.
+    ``n_probes``: the centroids' candidates are searched in inverted lists instead of exactly.  Tiles are ranges of ``tile_rows`` ids (None: one tile).
     """
-    near = candidates(a, centroids, k_db, n_probes)
+    tiled = None if tile_rows is None else "_tile"
+    near = candidates(a if tiled is None else a.withColumn(tiled, tile_of("vec_id", tile_rows)), centroids, k_db, n_probes, tiled)
     rows = a.join(near.select(F.col("a_idx").alias("vec_id"), "centroid_id"), "vec_id")
     members = assign(a if b is None else b, centroids)
-    found = block_join(side(rows, "a", "centroid_id"), side(members, "b", "centroid_id"), within(threshold), rows_per_block, self_join=b is None)
-    return found
+    return block_join(side(rows, "a", "centroid_id"), side(members, "b", "centroid_id"), within(threshold), rows_per_block, self_join=b is None)
 
 
-def closest_pairs(a: DataFrame, b: DataFrame | None, k: int = 10, ordered: bool = False, least: float | None = None, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+def closest_pairs(a: DataFrame, b: DataFrame | None, k: int = 10, ordered: bool = False, least: float | None = None, rows_per_block: int | None = None) -> DataFrame:
     """The ``k`` closest pairs of all, by (dist, b_idx, a_idx).
 
     ``ordered``: a self-join gives both directions of a pair.  ``least``: pairs not farther than this

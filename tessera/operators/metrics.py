@@ -45,6 +45,12 @@ def recall(result: DataFrame, truth: DataFrame) -> DataFrame:
     )
 
 
+def topk_recall(result: DataFrame, truth: DataFrame, k: int) -> DataFrame:
+    """One row: n_truth, n_found, recall of a global top ``k``: the share of the true ``k`` closest pairs, in either direction, that the result's ``k`` closest hold."""
+    best = lambda df: df.orderBy("dist", "b_idx", "a_idx").limit(k).select(F.greatest(*PAIR).alias("a_idx"), F.least(*PAIR).alias("b_idx"))
+    return recall(best(result), best(truth))
+
+
 def shared_pairs(result: DataFrame, truth: DataFrame) -> DataFrame:
     """The distinct pairs that both have."""
     return result.select(*PAIR).intersect(truth.select(*PAIR))
@@ -68,6 +74,20 @@ def pairs_compared_by_tile(ids: DataFrame, tile_rows: int, other: DataFrame | No
     return a.join(b, F.col("a_tile") >= F.col("b_tile")).select("a_tile", "b_tile", F.when(diagonal, half).otherwise(F.col("na") * F.col("nb")).cast("long").alias("pairs"))
 
 
+def pairs_compared(n: int, m: int | None = None) -> int:
+    """All pairs that an exact join compares, in closed form: n (n - 1) / 2 of a self-join, else n * m."""
+    return n * (n - 1) // 2 if m is None else n * m
+
+
+def pairs_compared_clusters(scheduled: DataFrame, left: DataFrame, right: DataFrame | None = None) -> DataFrame:
+    """One row: pairs compared on the scheduled cluster pairs; a self-join (right None) compares n (n - 1) / 2 within a cluster."""
+    a = left.groupBy(F.col("cluster").alias("i")).agg(F.count(F.lit(1)).alias("n"))
+    b = (left if right is None else right).groupBy(F.col("cluster").alias("j")).agg(F.count(F.lit(1)).alias("m"))
+    own = F.floor(F.col("n") * (F.col("n") - 1) / 2)
+    each = F.col("n") * F.col("m") if right is not None else F.when(F.col("i") == F.col("j"), own).otherwise(F.col("n") * F.col("m"))
+    return scheduled.select("i", "j").join(a, "i").join(b, "j").agg(F.coalesce(F.sum(each), F.lit(0)).cast("long").alias("pairs_compared"))
+
+
 def pairs_compared_knn(n_queries: int, k: int) -> int:
     return n_queries * k
 

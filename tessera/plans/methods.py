@@ -29,7 +29,7 @@ def _fitted(rows: DataFrame, n: int, fraction: float, seed: int, stats: dict[str
 
 
 def brute_force(a, b, p, stats):
-    return joins.threshold_join(a, b, p.threshold)
+    return joins.threshold_join(a, b, p.threshold, p.tile_rows["brute_force"])
 
 
 def exact_knn(a, b, p, stats):
@@ -38,17 +38,20 @@ def exact_knn(a, b, p, stats):
 
 def ivf_flat(a, b, p, stats):
     q = p.cuvs_ivf_flat
-    return joins.ivf_join(a, b, _fitted(a, q.n_lists, 1.0, p.seed, stats), q.k, q.n_probes, p.threshold)
+    return joins.ivf_join(a, b, _fitted(a, q.n_lists, 1.0, p.seed, stats), q.k, q.n_probes, p.threshold, tile_rows=p.tile_rows["cuvs_ivf_flat"])
 
 
 def graph_search(a, b, p, stats):
-    return graph.graph_join(a, b, p.cuvs_cagra.k, p.cuvs_cagra.beam, p.threshold)
+    return graph.graph_join(a, b, p.cuvs_cagra.k, p.cuvs_cagra.beam, p.threshold, tile_rows=p.tile_rows["cuvs_cagra"])
 
 
 def centroid(a, b, p, stats):
     q = p.centroid_join
     c = _fitted(a if b is None else b, q.n_clusters, q.sample_fraction, p.seed, stats)
-    return joins.centroid_join(a, b, c, q.k_db_candidates, p.threshold, p.cuvs_ivf_flat.n_probes if q.use_ivf else None)
+    n_probes, tile = p.cuvs_ivf_flat.n_probes if q.use_ivf else None, p.tile_rows["centroid_join"]
+    near = clustering.candidates(a.withColumn("_tile", joins.tile_of("vec_id", tile)), c, q.k_db_candidates, n_probes, "_tile")
+    stats["total_pairs_compared"] = metrics.pairs_compared_centroid(clustering.assign(a if b is None else b, c), near).first()["pairs_compared"]
+    return joins.centroid_join(a, b, c, q.k_db_candidates, p.threshold, n_probes, tile_rows=tile)
 
 
 def _clustered(a, b, p: Params, rows: int, stats: dict[str, Any], kernel_of) -> DataFrame:
@@ -66,7 +69,9 @@ def _clustered(a, b, p: Params, rows: int, stats: dict[str, Any], kernel_of) ->
     m = c.count()
     row = clustering.prune_ratio(plan, m, b is None).first()
     sizes = clustering.cluster_sizes(left).first()
-    stats |= {"n_centroids": m, "n_tiles": row["scheduled"], "prune_ratio": row["prune_ratio"], **{f"chunk_{k}": sizes[f"{k}_size"] for k in ("min", "max", "mean")}}
+    compared = metrics.pairs_compared_clusters(plan, left, right).first()["pairs_compared"]
+    stats |= {"n_clusters": m, "n_tiles": row["scheduled"], "scheduled_tiles": row["scheduled"], "total_possible_tiles": row["possible"], "prune_ratio": row["prune_ratio"]}
+    stats |= {"total_pairs_compared": compared, **{f"chunk_{k}": sizes[f"{k}_size"] for k in ("min", "max", "mean")}}
     return kernel_of(left, right, plan)
 
 
@@ -81,9 +86,14 @@ def centroid_centroid(a, b, p, stats):
     def run(x, y, plan):
         c = _fitted(a if b is None else b, q.n_clusters, q.sample_fraction, p.seed, stats)
         tiles = plan.select("i", "j")
-        rows = clustering.candidates(a, c, q.k_db_candidates).select(F.col("a_idx").alias("vec_id"), "centroid_id")
-        rows = x.join(rows, "vec_id").join(tiles, F.col("cluster") == F.col("i")).withColumn("key", F.xxhash64("i", "j", "centroid_id"))
-        members = clustering.assign(x if y is None else y, c).join(tiles, F.col("cluster") == F.col("j")).withColumn("key", F.xxhash64("i", "j", "centroid_id"))
+        near = clustering.candidates(x, c, q.k_db_candidates, within="cluster")
+        rows = x.join(near.select(F.col("a_idx").alias("vec_id"), "centroid_id"), "vec_id").join(tiles, F.col("cluster") == F.col("i")).withColumn("key", F.xxhash64("i", "j", "centroid_id"))
+        members = clustering.assign(x if y is None else y, c)
+        per = near.groupBy("cluster", "centroid_id").agg(F.count(F.lit(1)).alias("n"))
+        asked = members.groupBy(F.col("cluster").alias("j"), "centroid_id").agg(F.count(F.lit(1)).alias("m"))
+        done = tiles.join(per, F.col("cluster") == F.col("i")).join(asked, ["j", "centroid_id"]).agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0)).alias("n")).first()["n"]
+        stats["total_pairs_compared"] = done
+        members = members.join(tiles, F.col("cluster") == F.col("j")).withColumn("key", F.xxhash64("i", "j", "centroid_id"))
         found = blocks.block_join(blocks.side(rows, "a", "key"), blocks.side(members, "b", "key"), blocks.within(p.threshold))
         if b is None:
             found = found.where("a_idx <> b_idx").select(F.greatest("a_idx", "b_idx").alias("a_idx"), F.least("a_idx", "b_idx").alias("b_idx"), "dist").dropDuplicates(["a_idx", "b_idx"])
@@ -120,6 +130,16 @@ def vector_join(a: DataFrame, b: DataFrame | None = None, method: str = "brute_f
     return METHODS[method].join(a, b, params, {} if stats is None else stats)
 
 
+def _tiles(a: DataFrame, b: DataFrame | None, method: str, rows: int, tiles: int, m: int | None) -> int:
+    """Pairs of tiles that ran: blocks of an exact join; of methods by ranges of ids, each tile of a with the b rows (of a self-join: of a tile not after it)."""
+    if method == "brute_force":
+        return tiles * (tiles + 1) // 2 if b is None else tiles * -(-m // rows)
+    held = a.select(joins.tile_of("vec_id", rows).alias("t")).distinct().count()
+    if b is None:
+        return held * (held + 1) // 2
+    return held * b.select(joins.tile_of("vec_id", rows).alias("t")).distinct().count()
+
+
 def run_method(store: ResultStore, a: DataFrame, b: DataFrame | None, method: str, params: Params = Params(), name: str | None = None) -> ResultSet:
     """Runs a method and stores pairs and metadata under ``name`` (default: the method's)."""
     stats: dict[str, Any] = {}
@@ -129,7 +149,7 @@ def run_method(store: ResultStore, a: DataFrame, b: DataFrame | None, method: st
     pairs = vector_join(a, b, method, params, stats)
     rows = params.tile_rows.get(method, params.tile_rows["brute_force"])
     tiles = -(-n // rows)
-    stats.setdefault("n_tiles", tiles * (tiles + 1) // 2 if b is None else tiles * -(-m // rows))
+    stats.setdefault("n_tiles", _tiles(a, b, method, rows, tiles, m))
     k = {"cuvs_brute_force": params.cuvs_brute_force.k, "cuvs_ivf_flat": params.cuvs_ivf_flat.k, "cuvs_cagra": params.cuvs_cagra.k}.get(method)
     full = n * (n - 1) // 2 if b is None else n * m
     first = a.select(F.size("embedding").alias("d")).first()
@@ -163,7 +183,10 @@ def compare_runs(store: ResultStore, ids: DataFrame, truth: str = "brute_force",
         degrees = metrics.degree_stats(run.pairs, ids if self_join or other_ids is None else other_ids, self_join).first().asDict()
         dist = metrics.distance_stats(run.pairs).first().asDict()
         params = run.metadata.get("params") or {}
-        row = {"method": name, "time_s": run.metadata.get("time_s"), "threshold": params.get("threshold"), "batch_size": (params.get("tile_rows") or {}).get(run.metadata.get("base_method", name))}
+        row = {"method": name, "time_s": run.metadata.get("time_s"), "n_tiles": run.metadata.get("n_tiles"), "total_pairs_compared": run.metadata.get("total_pairs_compared")}
+        row |= {"build_time_s": run.metadata["build_time_s"]} if "build_time_s" in run.metadata else {}
+        row |= {"threshold": params.get("threshold"), "batch_size": (params.get("tile_rows") or {}).get(run.metadata.get("base_method", name))}
+        degrees = {f"n_neighbors_{k.removesuffix('_degree')}" if k.endswith("_degree") else k: v for k, v in degrees.items()}
         row |= {"pair_count": run.pair_count, **degrees, **{k: v for k, v in dist.items() if k != "n_pairs"}}
         if base is not None:
             row["recall"] = 1.0 if name == truth else metrics.recall(run.pairs, base).first()["recall"]

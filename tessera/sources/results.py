@@ -25,6 +25,7 @@ PAIRS = "a_idx long, b_idx long, dist double"
 SWEEP_COLUMNS = ["method_name", "base_method", "time_s", "pair_count", "recall", "k", "itopk_size", "n_lists", "n_probes", "n_clusters", "k_db_candidates"]
 _METADATA = (
     "method string, base_method string, time_s double, pair_count long, n_tiles long, total_pairs_compared long, build_time_s double, cluster_time_s double, "
+    "n_clusters long, scheduled_tiles long, total_possible_tiles long, prune_ratio double, "
     "N long, M long, D long, self_join boolean, recall double, params map<string,string>"
 )
 
@@ -162,7 +163,7 @@ def statistics_table(spark: SparkSession, pattern: str, layout: str = r"/([^/]+)
 
 def report(statistics: list[dict[str, Any]]) -> str:
     """A plain text table of run statistics, for consoles."""
-    columns = ["method", "time_s", "pair_count", "recall", "min_degree", "max_degree", "mean_degree", "std_degree"]
+    columns = ["method", "time_s", "pair_count", "recall", "n_neighbors_min", "n_neighbors_max", "n_neighbors_mean", "n_neighbors_std"]
     cell = lambda v: "" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v)
     lines = [columns, *[[cell(s.get(c)) for c in columns] for s in statistics]]
     wide = [max(len(x[i]) for x in lines) for i in range(len(columns))]

@@ -115,11 +115,13 @@ class _Reader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays([ids, lists], names=["vec_id", "embedding"])
 
 
+#: A part file is closed when it holds so many bytes.
+_PART_BYTES = 64 << 20
+
+
 @dataclass
 class _Wrote(WriterCommitMessage):
-    temporary: str
-    final: str
-    rows: int
+    files: list[tuple[str, str, int]]  # temporary and final name, rows
 
 
 class _Writer(DataSourceArrowWriter):
@@ -136,20 +138,37 @@ class _Writer(DataSourceArrowWriter):
         system.create_dir(root, recursive=True)
         part = f"{root}/part-{TaskContext.get().partitionId():06d}"
         held: list[np.ndarray] = []
-        for b in batches:
-            col = b.column(b.schema.names.index("embedding"))
-            held += [np.asarray(v, dtype) for v in col.to_pylist() if v is not None]
-        name = f"{part}.{uuid.uuid4().hex[:8]}.writing"
-        if held:
-            d = len(held[0])
-            with system.open_output_stream(name, compression=None) as f:
+        files: list[tuple[str, str, int]] = []
+        size = 0
+
+        def close() -> None:
+            x = np.concatenate(held)
+            name = f"{part}-{len(files):05d}"
+            temporary = f"{name}.{uuid.uuid4().hex[:8]}.writing"
+            with system.open_output_stream(temporary, compression=None) as f:
                 if whole:
-                    f.write(np.array([len(held), d], "<u4").tobytes())
-                    f.write(np.stack(held).tobytes())
+                    f.write(np.array(x.shape, "<u4").tobytes())
+                    f.write(x.tobytes())
                 else:
-                    dim = np.full((len(held), 1), d, "<i4").view(np.uint8)
-                    f.write(np.concatenate((dim, np.stack(held).view(np.uint8).reshape(len(held), -1)), axis=1).tobytes())
-        return _Wrote(name if held else "", f"{part}.{self.fmt}", len(held))
+                    dim = np.full((len(x), 1), x.shape[1], "<i4").view(np.uint8)
+                    f.write(np.concatenate((dim, x.view(np.uint8).reshape(len(x), -1)), axis=1).tobytes())
+            files.append((temporary, f"{name}.{self.fmt}", len(x)))
+
+        for b in batches:
+            col = b.column(b.schema.names.index("embedding")).drop_null()
+            if not len(col):
+                continue
+            widths = np.unique(np.diff(np.asarray(col.offsets)))
+            if len(widths) > 1 or held and widths[0] != held[0].shape[1]:
+                raise ValueError("vectors differ in dimensions")
+            held.append(np.asarray(col.flatten()).reshape(len(col), -1).astype(dtype))
+            size += held[-1].nbytes
+            if size >= _PART_BYTES:  # a header states its file's rows, so what is held is bounded by the file
+                close()
+                held, size = [], 0
+        if held:
+            close()
+        return _Wrote(files)
 
     def commit(self, messages: list[WriterCommitMessage]) -> None:
         system, root = _open(self.path)
@@ -158,14 +177,14 @@ class _Writer(DataSourceArrowWriter):
                 if x.base_name.endswith(f".{self.fmt}"):
                     system.delete_file(x.path)
         for m in messages:
-            if m is not None and m.temporary:
-                system.move(m.temporary, m.final)
+            for temporary, final, _ in m.files if m is not None else ():
+                system.move(temporary, final)
 
     def abort(self, messages: list[WriterCommitMessage]) -> None:
         system, _ = _open(self.path)
         for m in messages:
-            if m is not None and m.temporary:
-                system.delete_file(m.temporary)
+            for temporary, _, _ in m.files if m is not None else ():
+                system.delete_file(temporary)
 
 
 def _source(fmt: str) -> type[DataSource]:

@@ -110,6 +110,37 @@ def test_methods_find_everything_with_generous_parameters(spark, vectors, method
     assert got <= want and len(got) >= (0.95 if "cagra" in method else 1) * len(want)
 
 
+def test_metadata_of_clusters_and_counters(spark, vectors, tmp_path):
+    store = ResultStore(spark, f"file://{tmp_path}/runs")
+    m = methods.run_method(store, vectors, None, "centroid_batch", SMALL).metadata
+    assert m["n_clusters"] == 4 and m["total_possible_tiles"] == 10 and m["scheduled_tiles"] == m["n_tiles"] <= 10 and 0 <= m["prune_ratio"] <= 1
+    assert m["total_pairs_compared"] == 150 * 149 // 2 * (m["scheduled_tiles"] == 10) or m["total_pairs_compared"] < 150 * 149 // 2
+    small = SMALL.replace(tile_rows={"brute_force": 40, "cuvs_ivf_flat": 50, "centroid_join": 50, "cuvs_cagra": 60})
+    assert methods.run_method(store, vectors, None, "brute_force", small).metadata["n_tiles"] == 10  # 4 blocks
+    ivf = methods.run_method(store, vectors, None, "cuvs_ivf_flat", small).metadata
+    assert ivf["n_tiles"] == 6 and ivf["build_time_s"] > 0
+    assert methods.run_method(store, vectors, None, "centroid_join", small).metadata["total_pairs_compared"] == 150 * 150  # every row is a candidate of each tile
+    rows = {r["method"]: r for r in methods.compare_runs(store, vectors.select("vec_id"))}
+    assert {r["recall"] for r in rows.values()} == {1.0} and rows["brute_force"]["n_tiles"] == 10
+    known = results.read_metadata(spark, f"{store.folder}/*/metadata.json").where("method = 'centroid_batch'").first()
+    assert known.n_clusters == 4 and known.total_possible_tiles == 10
+
+
+def test_candidates_are_of_each_tile(spark, vectors):
+    """k counts in each tile: two nearest of every range of 30 ids, by hand."""
+    small = SMALL.replace(tile_rows={"cuvs_ivf_flat": 30, "cuvs_cagra": 30}, cuvs_ivf_flat={"k": 2}, cuvs_cagra={"k": 2, "itopk_size": 30})
+    x = np.array([r.embedding for r in vectors.orderBy("vec_id").collect()])
+    d = ((x[:, None].astype(float) - x[None].astype(float)) ** 2).sum(-1)
+    want = set()
+    for b in range(150):
+        for lo in range(b // 30 * 30, 150, 30):
+            near = sorted(range(lo, lo + 30), key=lambda a: (d[a, b], a))[:2]
+            want |= {(a, b) for a in near if a > b and d[a, b] <= 3.0}
+    assert {(r.a_idx, r.b_idx) for r in methods.vector_join(vectors, None, "cuvs_ivf_flat", small).collect()} == want  # all lists are probed
+    got = {(r.a_idx, r.b_idx) for r in methods.vector_join(vectors, None, "cuvs_cagra", small).collect()}
+    assert got <= want and len(got) >= 0.95 * len(want)
+
+
 def test_own_methods(spark, vectors):
     with pytest.raises(ValueError):
         methods.vector_join(vectors, None, "mine")
@@ -206,6 +237,6 @@ def test_entry(spark, data):
 def test_quick_comparison(spark, vectors, tmp_path):
     store = ResultStore(spark, f"file://{tmp_path}/quick")
     got = {r["method"]: r for r in methods.run_quick(store, vectors.where("vec_id < 60"), None, 3.0, ["centroid", "brute_force"])}
-    assert got["brute_force"]["recall"] == got["centroid"]["recall"] == 1.0 and got["centroid"]["n_points"] == 60
+    assert got["brute_force"]["recall"] == got["centroid"]["recall"] == 1.0 and got["centroid"]["n_points"] == 60 and got["centroid"]["n_neighbors_max"] >= got["centroid"]["n_neighbors_mean"] >= got["centroid"]["n_neighbors_min"]
     with pytest.raises(ValueError):
         methods.run_quick(store, vectors, None, 3.0, ["other"])
