@@ -1,17 +1,9 @@
-"""Shared plumbing of the training-data operators.
-
-``saved`` cuts lineage by writing a table into the folder that the cluster
-names in ``spark.checkpoint.dir`` (shared by the driver and all executors), so
-a lost executor costs a re-read and never a replay of the whole job.
-"""
+"""Shared plumbing of the training-data operators."""
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -19,63 +11,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_FOLDERS: dict[str, str] = {}
+from tessera.storage import delete_path, new_path, saved
+
+__all__ = ["delete_path", "fold", "free_name", "hash_share", "map_batches", "new_path", "partitions", "release", "saved", "small_batches"]
 
 #: Rows and bytes handed to a Python worker at once: a batch ends at whichever comes first (a single row may be longer).
 BATCH_ROWS = 1000
 BATCH_BYTES = 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """This application's folder below ``spark.checkpoint.dir``.
-
-    A path without a scheme belongs to the cluster's default file system.  Only a local master (tests on one
-    machine) may leave the setting out; a temporary folder is made then.
-    """
-    app = spark.sparkContext.applicationId
-    if app not in _FOLDERS:
-        root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not root:
-            master = spark.sparkContext.master
-            if master != "local" and not master.startswith("local["):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            root = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-        root = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
-        if root.startswith("file:/") and not root.startswith("file://"):
-            root = f"file://{root.removeprefix('file:')}"
-        _FOLDERS[app] = f"{root.rstrip('/')}/tessera-{app}-{uuid.uuid4().hex[:8]}"
-        atexit.register(_remove, spark, _FOLDERS[app])
-    return _FOLDERS[app]
-
-
-def _remove(spark: SparkSession, folder: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # noqa: BLE001  the session has ended; its folder is left to the cluster's cleaner
-        pass
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def delete_path(spark: SparkSession, folder: str) -> None:
-    """Deletes a folder of this application's own, in any file system that Spark reads."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def saved(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Writes ``df`` to the shared folder and returns a reader of it."""
-    spark = df.sparkSession
-    path = path or new_path(spark, name)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of plans that nothing refers to any more; it does so only after a collection."""
     gc.collect()

@@ -12,7 +12,8 @@ A shard file holds the documents of one range of doc_id, in ascending order:
 
 Ranks are of the shard's own counts, so a shard is written in one pass, read by
 itself and rewritten by itself if its task is lost.  Files are written under a
-name of the attempt and then renamed; a manifest row names the one that counts.
+name of the attempt and then renamed; a manifest row names the one that counts.  The manifest is written beside the shards
+(``manifest`` below their folder) once all are there, so a folder is read by itself and files of failed attempts are told from good ones.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import map_batches, new_path, partitions
@@ -173,7 +174,16 @@ def write_tokens(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: in
     for r in sorted(rows, key=lambda r: (r["part"], r["number"])):
         out.append((folder, r["path"], r["docs"], r["tokens"], start))
         start += r["tokens"]
-    return spark.createDataFrame(out, "folder string, path string, docs long, tokens long, start long")
+    spark.createDataFrame(out, _ENTRY).coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest")
+    return open_tokens(spark, folder)
+
+
+_ENTRY = "folder string, path string, docs long, tokens long, start long"
+
+
+def open_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest of a folder of shards, wherever it lies now."""
+    return spark.read.schema(_ENTRY).parquet(f"{folder}/manifest").withColumn("folder", F.lit(folder))
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -60,6 +60,9 @@ def test_files_hold_all_documents_in_order(spark):
         ids[r.doc_id].remove(mine[0])
     assert not any(ids.values())
     assert order == sorted(order, key=lambda d: (d is not None, d or 0))
+    folder = manifest.first().folder
+    again = tokenbin.open_tokens(spark, folder)  # by the folder alone
+    assert sorted(map(tuple, tokenbin.read_documents(again).collect()), key=str) == sorted(map(tuple, got), key=str)
     empty = tokenbin.write_tokens(df.limit(0), path)
     assert empty.count() == 0 and tokenbin.read_documents(empty).count() == 0
 
