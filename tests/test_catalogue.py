@@ -56,7 +56,7 @@ def test_runs_without_the_optional_part(tmp_path):
         "class Block:\n"
         "    def find_spec(self, name, path=None, target=None):\n"
         "        if name.startswith('tessera.llm') or name == 'corpus_pipeline':\n"
-        "            raise ModuleNotFoundError(name)\n"
+        "            raise ModuleNotFoundError(name, name=name)\n"
         "sys.meta_path.insert(0, Block())\n"
         "import __spark_entry__ as e, bench\n"
         "assert set(e.oracle_sql()) <= set(e.queries()) and 'threshold_self_join' in e.queries() and 'pipeline' not in e.queries()\n"
