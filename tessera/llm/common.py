@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from tessera.storage import delete_path, new_path, saved
 
-__all__ = ["delete_path", "fold", "free_name", "hash_share", "map_batches", "new_path", "partitions", "release", "saved", "small_batches"]
+__all__ = ["delete_path", "fold", "free_name", "hash_share", "join_known", "map_batches", "new_path", "partitions", "release", "saved", "small_batches"]
 
 #: Rows and bytes handed to a Python worker at once: a batch ends at whichever comes first (a single row may be longer).
 BATCH_ROWS = 1000
@@ -21,8 +21,9 @@ BATCH_BYTES = 8 << 20
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of plans that nothing refers to any more; it does so only after a collection."""
+    """Lets Spark drop the shuffle files of plans that nothing refers to any more (it does so only after a collection), and gives the driver's memory back."""
     gc.collect()
+    _give_back()
     spark.sparkContext._jvm.System.gc()
 
 
@@ -63,6 +64,22 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     return df.mapInArrow(task, schema)
 
 
+#: A key that holds more than one in so many rows is joined apart, so at most so many are sent to the executors.
+HOT_KEYS = 10_000
+
+
+def join_known(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of stored ``rows`` with a stored table of one row a key, where a few keys may hold much of ``rows``.
+
+    ``known`` has a column ``n``, the rows of its key (it is dropped).  The keys of more than one in ``HOT_KEYS`` of all rows are sent to the executors
+    (fewer than ``HOT_KEYS`` of them, whatever the size of the tables), and only rows of other keys are shuffled.
+    """
+    least = (known.agg(F.sum("n").alias("n")).first()["n"] or 0) / HOT_KEYS
+    hot, cold = (known.where(c).drop("n") for c in (F.col("n") > least, F.col("n") <= least))
+    rest = rows.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(cold, keys)
+    return rest.unionByName(rows.join(F.broadcast(hot), keys).select(rest.columns))
+
+
 def free_name(name: str, taken: Iterable[str]) -> str:
     """``name``, with underscores put before it until no column of ``taken`` is called so (case aside)."""
     have = {t.lower() for t in taken}

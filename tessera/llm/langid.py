@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import fold, free_name, hash_share, map_batches
+from tessera.llm.common import fold, free_name, hash_share, map_batches, release
 
 BINS = 1 << 14  # at most 1 << 16
 NGRAMS = (2, 3, 4)
@@ -143,6 +143,7 @@ def fit(docs: DataFrame, learn: Column, per_language: int = SAMPLE_PER_LANGUAGE,
         parts.append(c)
         of += [k] * len(c)
         floors.append(SLACK * float(np.quantile((x @ c.T).max(axis=1), TAIL)))
+    release(docs.sparkSession)  # what the driver held of the sample
     return LanguageModel(names, idf, np.concatenate(parts), np.array(of), np.array(floors))
 
 

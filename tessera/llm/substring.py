@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import delete_path, free_name, map_batches, new_path, partitions, release, saved
+from tessera.llm.common import delete_path, free_name, join_known, map_batches, new_path, partitions, release, saved
 
 WINDOW = 50
 ANCHOR = 10
@@ -276,8 +276,8 @@ class FingerprintIndex:
     turns that into the windows to remove.  Before a batch comes to ``fan_out`` runs, these are compacted into one.  An index of ``path`` that exists is opened, with its own number of buckets.
     """
 
-    _RUN = "slot long, s1 long, s2 long, anchor long, first long, last long, fresh boolean"
-    _COPIES = "d1 long, d2 long, first long"
+    _RUN = "slot long, s1 long, s2 long, anchor long, first long, last long, n long, fresh boolean"
+    _COPIES = "d1 long, d2 long, first long, n long"
 
     def __init__(self, spark: SparkSession, path: str | None = None, fan_out: int = 8, buckets: int | None = None, hot: int = HOT) -> None:
         self.spark, self.path, self.fan_out, self.hot = spark, path or new_path(spark, "fingerprints"), fan_out, hot
@@ -308,13 +308,13 @@ class FingerprintIndex:
 
     @staticmethod
     def _classes(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("slot", "s1", "s2").agg(F.min("anchor").alias("anchor"), F.min("first").alias("first"), F.max("last").alias("last"), F.max("fresh").alias("fresh"))
+        return rows.groupBy("slot", "s1", "s2").agg(F.min("anchor").alias("anchor"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"), F.max("fresh").alias("fresh"))
 
     def compact(self) -> None:
         """Merges all runs into one; equal entries become one of the earliest and the latest document."""
         if len(self.runs) < 2:
             return
-        copies = self.copies.merged().groupBy("d1", "d2").agg(F.min("first").alias("first"))
+        copies = self.copies.merged().groupBy("d1", "d2").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
         self.copies.replace(copies, True)
         rows, moved = self.segments.merged(), bool(self.hot_anchors.runs)
         if moved:  # entries from before their anchor was hot go to its slots
@@ -332,15 +332,15 @@ class FingerprintIndex:
         keyed = batch.where("doc_id is not null").select("doc_id", _text_hash("text").alias("th"), "text")
         scan = self._saved(map_batches(keyed, _scan, _SCAN), "scan").where(F.col("n_words") >= WINDOW)
 
-        self.copies.append(scan.groupBy("d1", "d2").agg(F.min("doc_id").alias("first")))
-        first = self.copies.merged(1).groupBy("d1", "d2").agg(F.min("first").alias("first"), F.max("fresh").alias("fresh")).where("fresh").drop("fresh")
+        self.copies.append(scan.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
+        first = self.copies.merged(1).groupBy("d1", "d2").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.max("fresh").alias("fresh")).where("fresh").drop("fresh")
         first = self._saved(first, "texts")  # of this batch's texts
-        rows = scan.select("doc_id", "th", "n_words", "d1", "d2").join(first, ["d1", "d2"])
+        rows = join_known(scan.select("doc_id", "th", "n_words", "d1", "d2"), first.where("n > 1"), ["d1", "d2"])
         dead = rows.where("first < doc_id").select("doc_id", "th", F.lit(0).alias("lo"), (F.col("n_words") - WINDOW).cast("int").alias("hi"))
 
         alive = scan.join(first, [scan.d1 == first.d1, scan.d2 == first.d2, scan.doc_id == first["first"]], "left_semi")
         entries = self._saved(alive.select("doc_id", F.explode(F.arrays_zip("anchor", "s1", "s2")).alias("e")).select("e.anchor", "e.s1", "e.s2", "doc_id"), "entries")
-        classes = entries.groupBy("anchor", "s1", "s2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+        classes = entries.groupBy("anchor", "s1", "s2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
         self.segments.append(self._placed(classes.withColumn("fresh", F.lit(True))))
         brought = 1 + self._split_hot()
 
@@ -352,8 +352,8 @@ class FingerprintIndex:
             slots = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).select(self._salted(F.col("salt").cast("long")).alias("slot"), F.lit(True).alias("hot")).distinct()
             found = found.join(slots, "slot", "left").withColumn("mixed", F.col("mixed") | F.coalesce("hot", F.lit(False))).drop("hot")
         twice = (F.col("first") < F.col("last")) & F.col("fresh")
-        found = self._saved(found.where(twice | F.col("mixed")).select("s1", "s2", "first", "mixed", twice.alias("twice")), "found")
-        again = entries.select("s1", "s2", "doc_id").join(found.where("twice").select("s1", "s2", "first"), ["s1", "s2"])
+        found = self._saved(found.where(twice | F.col("mixed")).select("s1", "s2", "first", "n", "mixed", twice.alias("twice")), "found")
+        again = join_known(entries.select("s1", "s2", "doc_id"), found.where("twice").select("s1", "s2", "n"), ["s1", "s2"])
         hits = again.select("doc_id", "s1", F.lit(True).alias("whole"))
         hits = hits.unionAll(found.where("twice").select(F.col("first").alias("doc_id"), "s1", F.lit(True))).unionAll(found.where("mixed").select("first", "s1", F.lit(False)))
         release(self.spark)
@@ -380,8 +380,9 @@ class FingerprintIndex:
         keyed = texts.where("doc_id is not null").select("doc_id", _text_hash("text").alias("th"), "text")
         mine = hits.groupBy("doc_id").agg(F.collect_set(F.struct("s1", "whole")).alias("hits"))
         marks = self._saved(map_batches(keyed.join(mine, "doc_id").select("doc_id", "th", "text", "hits"), _mark, _MARKS), "marks")
-        known = marks.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-        repeats = marks.join(known.select("h1", "h2", "first"), ["h1", "h2"]).where("first < doc_id")
+        known = marks.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last")
+        known = self._saved(known.select("h1", "h2", "first", "n"), "known")
+        repeats = join_known(marks, known, ["h1", "h2"]).where("first < doc_id")
         gone = repeats.select("doc_id", "th", "lo", "hi").unionAll(dead)
         out = saved(gone.groupBy("doc_id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")), "ranges")
         for path in self.passing:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.llm import queries, substring
+from tessera.llm import common, queries, substring
 
 SCHEMA = "doc_id long, text string"
 
@@ -113,6 +113,17 @@ def test_history_is_not_shuffled(spark, tmp_path):
     index.drop()
 
 
+def test_one_key_may_hold_most_rows(spark, monkeypatch):
+    rows = spark.createDataFrame([(k % 7 if k % 3 else 1, k, f"v{k}") for k in range(300)], "k long, id long, v string")
+    known = rows.groupBy("k").count().select("k", (F.col("k") * 10).alias("ten"), F.col("count").alias("n"))
+    want = sorted(tuple(r) for r in rows.join(known.drop("n"), "k").select("k", "id", "v", "ten").collect())
+    for keys in (2, 5, 10_000):
+        monkeypatch.setattr(common, "HOT_KEYS", keys)
+        got = common.join_known(rows, known.where("k <> 2"), ["k"]).select("k", "id", "v", "ten")
+        assert sorted(tuple(r) for r in got.collect()) == [r for r in want if r[0] != 2]
+    assert common.join_known(rows, known.limit(0), ["k"]).count() == 0
+
+
 def test_candidates_are_confirmed_on_words(spark, monkeypatch):
     """With an index hash that collides all the time, only what the words have in common goes."""
     rows = corpus(4)
