@@ -51,15 +51,16 @@ def _give_back() -> None:
         pass
 
 
-def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """``mapInArrow`` over bounded batches, whose workers give their memory back when a task ends."""
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str, give_back: bool = True) -> DataFrame:
+    """``mapInArrow`` over bounded batches, whose workers give their memory back when a task ends (not those that go on with what they remember)."""
     small_batches(df.sparkSession)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from run(batches)
         finally:
-            _give_back()
+            if give_back:
+                _give_back()
 
     return df.mapInArrow(task, schema)
 

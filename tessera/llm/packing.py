@@ -59,7 +59,7 @@ def _cut(path: str, kind: str, capacity: int, end_id: int):
 def pieces(docs: DataFrame, tokenizer: str, kind: str = "word", capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32); a null or empty text is its end token alone."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return map_batches(src, _cut(tokenizer, kind, capacity, end_id), _PIECES)
+    return map_batches(src, _cut(tokenizer, kind, capacity, end_id), _PIECES, give_back=False)
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

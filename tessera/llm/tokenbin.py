@@ -169,7 +169,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: in
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     tie = F.xxhash64("text")
     ordered = src.repartitionByRange(partitions(spark), "doc_id", tie).sortWithinPartitions("doc_id", tie)
-    rows = map_batches(ordered, _write(folder, tokenizer, kind, end_id, shard_tokens), _MANIFEST).collect()
+    rows = map_batches(ordered, _write(folder, tokenizer, kind, end_id, shard_tokens), _MANIFEST, give_back=False).collect()
     out, start = [], 0
     for r in sorted(rows, key=lambda r: (r["part"], r["number"])):
         out.append((folder, r["path"], r["docs"], r["tokens"], start))

@@ -13,6 +13,8 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
@@ -27,6 +29,8 @@ _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"  # neither letters nor digits: at
 _ODD = re.compile("[\x1c-\x1fɐ-\U0010ffff]")
 #: With none of these in a text, each blank or line end stands alone and a plain split finds the chunks.
 _UNEASY = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\x85", "\xa0", "\x00")
+#: White space of other kinds; without it words are what stands between blanks and line ends.
+_SPACES = ("\t", "\r", "\x0b", "\x0c", "\x85", "\xa0")
 _CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 _WORD_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
@@ -35,15 +39,7 @@ _OPEN: dict[tuple[str, str], "Encoder"] = {}
 
 def chunks(text: str) -> list[str]:
     """Words with the blank before them, and white space of other kinds by itself."""
-    for x in _UNEASY:
-        if x in text:
-            return _CHUNK.findall(text)
-    out = text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
-    if not out[0]:
-        del out[0]
-    if out and not out[-1]:
-        del out[-1]
-    return out
+    return _CHUNK.findall(text)
 
 
 def pieces(word: str) -> int:
@@ -62,7 +58,7 @@ class Encoder:
         self.added = [a.content for a in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.kind = kind
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {"": b""}  # what stands between two marks may be nothing
         # a token that ends a piece (word kind) or begins one (byte kind: those with a leading blank)
         self.edge = np.zeros(1 + max(vocabulary.values()), bool)
         self.edge[[i for t, i in vocabulary.items() if (t.endswith("</w>") if kind == "word" else t.startswith("\u0120"))]] = True
@@ -102,39 +98,59 @@ class Encoder:
             put(rest, np.array(got.ids, np.int64), np.searchsorted(np.array(got.word_ids), np.arange(len(rest) + 1)))
         return found
 
+    def _lines(self, text: str) -> str | None:
+        """A text with a mark between its words, if a plain split finds them; None if not."""
+        if self.kind == "word":
+            return None if any(x in text for x in _SPACES) else text.replace("\n", " ")
+        return None if any(x in text for x in _UNEASY) else text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ")
+
+    def _known(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words; those that are new are encoded together."""
+        parts = list(map(self.words.get, words))
+        if None in parts:
+            missing = [k for k, x in enumerate(parts) if x is None]
+            new = [words[k] for k in missing]
+            found = self._learn(new)
+            for k, w in zip(missing, new):
+                parts[k] = found[w]
+            self.words.update((w, found[w]) for w in new if len(w) <= LONG)
+        return parts
+
+    def _together(self, lines: list[str]) -> list[bytes]:
+        """The ids of texts whose words are marked off: the distinct words of all are looked up once, and the ids gathered."""
+        split = pc.split_pattern(pa.array(lines, pa.large_string()), " " if self.kind == "word" else "\x00")
+        words = split.flatten().dictionary_encode()
+        parts = self._known(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ids = np.frombuffer(b"".join(parts), "<u4")
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        first = np.cumsum(size) - size
+        at = words.indices.to_numpy()
+        n = size[at]
+        upto = np.concatenate(([0], np.cumsum(n)))
+        raw = ids[np.arange(upto[-1]) + np.repeat(first[at] - upto[:-1], n)]
+        edge = upto[split.offsets.to_numpy()].tolist()
+        return [raw[i:j].tobytes() for i, j in zip(edge, edge[1:])]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers; a null text has none."""
-        out: list[bytes | None] = [None] * len(texts)
+        out: list[bytes] = [b""] * len(texts)
         if len(self.words) > WORDS[self.kind]:
-            self.words.clear()
-        get = self.words.get
-        wait: list[tuple[int, list[str], list[bytes | None], list[int]]] = []
-        new: set[str] = set()
+            self.words = {"": b""}
+        rows, lines = [], []
         for i, t in enumerate(texts):
             if not t:
-                out[i] = b""
-            elif _ODD.search(t) or any(a in t for a in self.added):
+                continue
+            if _ODD.search(t) or any(a in t for a in self.added):
                 out[i] = self.whole(t)
+            elif (line := self._lines(t)) is not None:
+                rows.append(i)
+                lines.append(line)
             else:
                 words = t.split() if self.kind == "word" else chunks(t)
-                parts = list(map(get, words))
-                missing, k = [], -1
-                try:
-                    while True:
-                        k = parts.index(None, k + 1)
-                        missing.append(k)
-                except ValueError:
-                    pass
-                if missing:
-                    wait.append((i, words, parts, missing))
-                    new.update([words[k] for k in missing])
-                else:
-                    out[i] = b"".join(parts)
-        if wait:
-            found = self._learn(list(new))
-            for i, words, parts, missing in wait:
-                for k in missing:
-                    parts[k] = found[words[k]]
-                out[i] = b"".join(parts)
-            self.words.update((w, b) for w, b in found.items() if len(w) <= LONG)
+                distinct = list(dict.fromkeys(words))
+                found = dict(zip(distinct, self._known(distinct)))
+                out[i] = b"".join([found[w] for w in words])
+        if rows:
+            for i, ids in zip(rows, self._together(lines)):
+                out[i] = ids
         return out
