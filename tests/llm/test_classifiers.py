@@ -169,6 +169,34 @@ def test_language_edges(spark, data):
     assert langid.keep_known(clash).columns == clash.columns and langid.keep_known(clash).count() >= docs.count() - 1
 
 
+def test_language_rows_by_brute_force(spark, data):
+    """Each row of the query: n-grams counted one by one, weighed, and compared with every centroid."""
+    import math
+
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(docs, fold("doc_id", 3) != 1)
+    got = {r.doc_id: r for r in langid.identify(docs).collect()}
+    for r in docs.limit(60).collect():
+        a = [c if c >= 128 or chr(c).isalpha() else 32 for c in (r.text or "").lower().encode()]
+        a = [32, *[c for i, c in enumerate(a) if i == 0 or c != 32 or a[i - 1] != 32], 32]
+        count = {}
+        for n in langid.NGRAMS:
+            for i in range(len(a) - n + 1):
+                h = ((int.from_bytes(bytes(a[i : i + n]), "big") + (n << 40)) * 0x9E3779B97F4A7C15 % 2**64) >> 50
+                count[h] = count.get(h, 0) + 1
+        v = {h: (1 + math.log(c)) * float(model.idf[h]) for h, c in count.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        cosine = [sum(x * float(c[h]) for h, x in v.items()) / norm for c in model.centroids]
+        best = max(range(len(cosine)), key=lambda k: cosine[k])
+        row = got[r.doc_id]
+        assert row.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+        if not langid.has_letter(r.text):
+            assert row.lang_pred == "und" and row.score == 0
+        else:
+            assert row.lang_pred == model.languages[model.of[best]] and row.score == pytest.approx(max(0.0, cosine[best]), abs=1e-4)
+            assert row.rejected == (cosine[best] < model.floor[model.of[best]] * min(1.0, sum(count.values()) / langid.FULL))
+
+
 def test_letters():
     assert [langid.has_letter(t) for t in (None, "", "12 ½ ² _!", "½a", "é", "日", "٣")] == [False, False, False, True, True, True, False]
 
