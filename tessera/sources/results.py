@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import numeric, path_part
+from tessera.storage import qualified
 
 PAIRS = "a_idx long, b_idx long, dist double"
 #: The columns of a sweep summary, in order.
@@ -196,6 +197,7 @@ def _open(path: str) -> tuple[pafs.FileSystem, str]:
 
 def read_triplets(spark: SparkSession, folder: str, rows_per_task: int = 1 << 20) -> DataFrame:
     """Pairs of a legacy run: three files read side by side, a range of rows a task."""
+    folder = qualified(spark, folder)
     system, root = _open(folder)
     sizes = [system.get_file_info(f"{root}/{n}") for n in TRIPLETS]
     if any(s.type == pafs.FileType.NotFound for s in sizes):
@@ -223,7 +225,7 @@ def read_triplets(spark: SparkSession, folder: str, rows_per_task: int = 1 << 20
 
 def write_triplets(pairs: DataFrame, folder: str) -> int:
     """The legacy form of a result, streamed through the driver a partition at a time."""
-    system, root = _open(folder)
+    system, root = _open(qualified(pairs.sparkSession, folder))
     system.create_dir(root, recursive=True)
     files = [system.open_output_stream(f"{root}/{n}", compression=None) for n in TRIPLETS]
     total = 0

@@ -25,6 +25,8 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from tessera.storage import qualified
+
 #: Element type, and whether the header is one for the file or one for each row.
 FORMATS = {
     "u8bin": (np.dtype("u1"), True),
@@ -220,7 +222,7 @@ def load_vectors(spark: SparkSession, path: str, fmt: str, max_vectors: int | No
         raise ValueError(f"unknown format {fmt!r}")
     register(spark)
     reader = spark.read.format(fmt).option("maxVectors", str(max_vectors or 0))
-    return (reader if dim is None else reader.option("dim", str(dim))).load(path)
+    return (reader if dim is None else reader.option("dim", str(dim))).load(qualified(spark, path))
 
 
 def save_vectors(vectors: DataFrame, path: str, fmt: str, mode: str = "overwrite") -> None:
@@ -229,4 +231,4 @@ def save_vectors(vectors: DataFrame, path: str, fmt: str, mode: str = "overwrite
         raise ValueError(f"unknown format {fmt!r}")
     register(vectors.sparkSession)
     ordered = vectors.select("vec_id", "embedding").where("embedding is not null").repartitionByRange("vec_id").sortWithinPartitions("vec_id")
-    ordered.write.format(fmt).mode(mode).save(path)
+    ordered.write.format(fmt).mode(mode).save(qualified(vectors.sparkSession, path))
