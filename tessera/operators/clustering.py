@@ -19,6 +19,8 @@ from tessera.operators.blocks import PAIR_KEY, block_join, nearest, side
 from tessera.storage import delete_path, new_path, saved
 
 MAX_SENT = 256 << 20
+#: Up to so many rows a balanced assignment ranks all that ask for one cluster in one task; beyond, in ranges (the same places, more jobs a round).
+RANKED_AT_ONCE = 1_000_000
 _ROWS = 2048
 
 
@@ -203,6 +205,27 @@ def cluster_sizes(clustered: DataFrame, cluster: str = "cluster") -> DataFrame:
     )
 
 
+def _ranges(asked: DataFrame) -> DataFrame:
+    """``asked`` dealt by ranges of (cluster, first, vec_id), with the range as ``piece``: a cluster that many rows ask for spans several tasks."""
+    return asked.repartitionByRange("cluster", "first", "vec_id").withColumn("piece", F.spark_partition_id())
+
+
+def _beyond(asked: DataFrame, capacity: int) -> DataFrame:
+    """(cluster, piece, before) of stored ``_ranges`` that hold rows beyond their cluster's first ``capacity``; ``before``: its rows in earlier pieces."""
+    sizes = asked.groupBy("cluster", "piece").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("cluster").orderBy("piece")) - F.col("n")
+    return sizes.withColumn("before", before).where(F.col("before") + F.col("n") > capacity).drop("n")
+
+
+def _over(asked: DataFrame, beyond: DataFrame, capacity: int) -> DataFrame:
+    """``asked`` with ``over``: whether its cluster has ``capacity`` rows before this one.  Only the piece of a cluster in which the places run out is ranked."""
+    known = asked.join(beyond, ["cluster", "piece"], "left")
+    w = Window.partitionBy("cluster", "piece").orderBy("first", "vec_id")
+    edge = known.where(F.col("before") < capacity).withColumn("over", F.col("before") + F.row_number().over(w) > capacity)
+    rest = known.where(F.col("before").isNull() | (F.col("before") >= capacity)).withColumn("over", F.col("before").isNotNull())
+    return edge.unionByName(rest)
+
+
 def balanced_assign(vectors: DataFrame, centroids: DataFrame, choices: int = 10, max_rounds: int = 10_000) -> DataFrame:
     """``vectors`` with ``cluster``, at most ceil(rows / clusters) a cluster.
 
@@ -210,7 +233,8 @@ def balanced_assign(vectors: DataFrame, centroids: DataFrame, choices: int = 10,
     first choice go first (ties: smaller vec_id).  As all clusters prefer rows in that one order, serving the rows one by
     one equals deferred acceptance: each round every row without a place asks its next choice and each cluster keeps the
     first ``capacity`` of those it holds and those that ask.  A row carries its few choices and a counter; each round is written to
-    the shared folder, and the one before it deleted.
+    the shared folder, and the one before it deleted.  Tables of over ``RANKED_AT_ONCE`` rows are dealt by ranges of that order, so that a cluster that many ask for
+    is ranked by many tasks.
     """
     spark = vectors.sparkSession
     ids = sorted(r["centroid_id"] for r in centroids.select("centroid_id").collect())
@@ -226,13 +250,21 @@ def balanced_assign(vectors: DataFrame, centroids: DataFrame, choices: int = 10,
     beyond = (F.col("at") - few).cast("int") if dense else F.array(*map(F.lit, ids))[F.col("at") - few]
     asks = F.when(F.col("at") < few, F.col("wish")[F.least("at", F.lit(few - 1))]).otherwise(beyond)
     w = Window.partitionBy("cluster").orderBy("first", "vec_id")
-    path = None
+    old: list[str] = []
     for _ in range(max_rounds):
-        old, path = path, new_path(spark, "balanced")
-        placed = saved(state.withColumn("cluster", asks).withColumn("over", F.row_number().over(w) > capacity), "balanced", path)
-        if old:
-            delete_path(spark, old)
-        if placed.where("over").isEmpty():
+        asked, paths = state.withColumn("cluster", asks), [new_path(spark, "balanced")]
+        if n <= RANKED_AT_ONCE:
+            placed = saved(asked.withColumn("over", F.row_number().over(w) > capacity), "balanced", paths[0])
+            settled = placed.where("over").isEmpty()
+        else:
+            paths.append(new_path(spark, "beyond"))
+            asked = saved(_ranges(asked), "balanced", paths[0])
+            beyond = saved(_beyond(asked, capacity), "beyond", paths[1])
+            placed, settled = _over(asked, beyond, capacity), beyond.isEmpty()
+        for path in old:
+            delete_path(spark, path)
+        old = paths
+        if settled:
             return rows.join(placed.select("vec_id", "cluster"), "vec_id")
         state = placed.select("vec_id", "first", "wish", (F.col("at") + F.col("over").cast("int")).alias("at"))
     raise RuntimeError("assignment did not settle")

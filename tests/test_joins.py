@@ -5,6 +5,7 @@ from hypothesis import strategies as st
 
 from tessera.functions import vectors as V
 from tessera.operators import blocks, clustering, graph, joins, metrics
+from tessera.storage import saved
 
 SCHEMA = "vec_id long, embedding array<float>"
 
@@ -173,6 +174,28 @@ def test_balanced_assignment_is_the_greedy_one(spark, seed, choices):
     assert got == greedy(v, c, choices)
 
 
+def test_a_cluster_that_all_ask_for_is_ranked_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(clustering, "RANKED_AT_ONCE", 0)
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((120, 4)).astype(np.float32)
+    c = np.concatenate((np.zeros((1, 4)), rng.standard_normal((5, 4)) * 50)).astype(np.float32)
+    table = spark.createDataFrame([(i, u.astype(float).tolist()) for i, u in enumerate(c)], "centroid_id int, centroid array<double>")
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        got = {r.vec_id: r.cluster for r in clustering.balanced_assign(frame(spark, v), table, 2).collect()}
+        rows = [(i % 3 // 2, float(i % 50), i) for i in range(400)]  # most in one cluster, with ties
+        asked = saved(clustering._ranges(spark.createDataFrame(rows, "cluster int, first double, vec_id long").repartition(5)), "asked")
+        for capacity in (1, 90, 200, 500):
+            over = {r.vec_id for r in clustering._over(asked, clustering._beyond(asked, capacity), capacity).where("over").collect()}
+            assert over == {r[2] for k in (0, 1) for r in sorted(x for x in rows if x[0] == k)[capacity:]}
+        assert asked.where("cluster = 0").select("piece").distinct().count() > 2
+    finally:
+        spark.conf.set(key, was)
+    assert got == greedy(v, c, 2)
+
+
 def test_bound_schedule_loses_nothing_and_centroid_schedule_may(spark, x):
     f, c = frame(spark, x), centers(spark, x)
     a = clustering.balanced_assign(f, c)
