@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tessera.operators import blocks, clustering, graph, joins, metrics
 from tessera.params import Params
 from tessera.sources.results import ResultSet, ResultStore
+from tessera.storage import saved
 
 JoinFunction = Callable[[DataFrame, DataFrame | None, Params, dict[str, Any]], DataFrame]
 
@@ -59,13 +60,13 @@ def _clustered(a, b, p: Params, rows: int, stats: dict[str, Any], kernel_of) ->
     n = a.count()
     k = max(1, -(-n // rows))
     c = _fitted(a, k, p.centroid_batch.sample_fraction, p.seed, stats, "cluster_time_s")
-    left = clustering.balanced_assign(a, c)
+    left = saved(clustering.balanced_assign(a, c).select("vec_id", "embedding", "cluster"), "clustered")
     right = None if b is None else clustering.assign(b, c).withColumn("cluster", F.col("centroid_id")).select(*b.columns, "cluster")
     bound = p.centroid_batch.mode == "bound"
     radius = clustering.radii(left, c) if bound else None
     radius_b = clustering.radii(right, c) if bound and right is not None else None
     limit = p.threshold if bound else p.centroid_batch.centroid_threshold
-    plan = clustering.schedule(c, limit, b is None, radius, radius_b)
+    plan = saved(clustering.schedule(c, limit, b is None, radius, radius_b), "schedule")
     m = c.count()
     row = clustering.prune_ratio(plan, m, b is None).first()
     sizes = clustering.cluster_sizes(left).first()
@@ -86,15 +87,20 @@ def centroid_centroid(a, b, p, stats):
     def run(x, y, plan):
         c = _fitted(a if b is None else b, q.n_clusters, q.sample_fraction, p.seed, stats)
         tiles = plan.select("i", "j")
-        near = clustering.candidates(x, c, q.k_db_candidates, within="cluster")
-        rows = x.join(near.select(F.col("a_idx").alias("vec_id"), "centroid_id"), "vec_id").join(tiles, F.col("cluster") == F.col("i")).withColumn("key", F.xxhash64("i", "j", "centroid_id"))
-        members = clustering.assign(x if y is None else y, c)
+        near = saved(clustering.candidates(x, c, q.k_db_candidates, within="cluster").select("cluster", "centroid_id", F.col("a_idx").alias("vec_id")), "near")
+        members = saved(clustering.assign(x if y is None else y, c).select("vec_id", "embedding", "centroid_id", "cluster"), "members")
         per = near.groupBy("cluster", "centroid_id").agg(F.count(F.lit(1)).alias("n"))
         asked = members.groupBy(F.col("cluster").alias("j"), "centroid_id").agg(F.count(F.lit(1)).alias("m"))
         done = tiles.join(per, F.col("cluster") == F.col("i")).join(asked, ["j", "centroid_id"]).agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0)).alias("n")).first()["n"]
         stats["total_pairs_compared"] = done
-        members = members.join(tiles, F.col("cluster") == F.col("j")).withColumn("key", F.xxhash64("i", "j", "centroid_id"))
-        found = blocks.block_join(blocks.side(rows, "a", "key"), blocks.side(members, "b", "key"), blocks.within(p.threshold))
+        # rows meet at a centroid, in ranges of clusters; the schedule is a mask, so a row is not copied for each cluster that its own one meets
+        n = near.count()
+        rows = clustering.group_rows(a.sparkSession, n // max(1, c.count()), members.count() // max(1, c.count()))
+        groups = clustering.grouped(x.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")), rows)
+        key = F.col("centroid_id").cast("long") * blocks.PAIR_KEY + F.col("grp")
+        left = x.join(near.drop("cluster"), "vec_id").join(groups, "cluster").withColumn("key", key)
+        right = members.join(saved(clustering.met_groups(plan, groups), "met"), "cluster").withColumn("key", key)
+        found = blocks.block_join(blocks.side(left, "a", "key", more=("pos",)), blocks.side(right, "b", "key", more=("bits",)), blocks.within(p.threshold))
         if b is None:
             found = found.where("a_idx <> b_idx").select(F.greatest("a_idx", "b_idx").alias("a_idx"), F.least("a_idx", "b_idx").alias("b_idx"), "dist").dropDuplicates(["a_idx", "b_idx"])
         return found
