@@ -60,3 +60,16 @@ def test_centroids_within_cluster_pairs(spark, x, d, copies):
     plan = {(r.i, r.j) for r in clustering.schedule(big, 9.0, True).collect()}
     want = {(max(r.a_idx, b), min(r.a_idx, b)) for r in near for b in range(n) if own[b] == r.centroid_id and b != r.a_idx and (cluster[r.a_idx], cluster[b]) in plan and d[r.a_idx, b] <= t}
     assert got.keys() == want and len(want) > 20
+
+
+def test_balanced_assignment_is_one_pass(spark, x, monkeypatch):
+    calls = []
+    monkeypatch.setattr(clustering, "saved", lambda df, name, *path, f=clustering.saved: calls.append(name) or f(df, name, *path))
+    c = x[::10] * 0.05  # rows want the same clusters, and most get one by its id
+    got = {r.vec_id: r.cluster for r in clustering.balanced_assign(frame(spark, x), centers(spark, c), 2).collect()}
+    near = ((x[:, None].astype(float) - c[None].astype(float)) ** 2).sum(-1)
+    wish, room, want = np.argsort(near, axis=1, kind="stable")[:, :2].tolist(), [10] * 16, {}
+    for i in sorted(range(len(x)), key=lambda i: (near[i, wish[i][0]], i)):
+        want[i] = next(k for k in [*wish[i], *range(16)] if room[k])
+        room[want[i]] -= 1
+    assert got == want and len(calls) == 1  # not a table for each round
