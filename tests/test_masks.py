@@ -73,3 +73,16 @@ def test_balanced_assignment_is_one_pass(spark, x, monkeypatch):
         want[i] = next(k for k in [*wish[i], *range(16)] if room[k])
         room[want[i]] -= 1
     assert got == want and len(calls) == 1  # not a table for each round
+
+
+def test_cluster_pairs(spark, x, d, copies):
+    f, c, t = frame(spark, x), centers(spark, x[::8]), 6.0
+    own = ((x[:, None].astype(float) - x[None, ::8].astype(float)) ** 2).sum(-1).argmin(1)
+    rows = clustering.assign(f, c).withColumnRenamed("centroid_id", "cluster")
+    for limit in (9.0, 4.0):  # most pairs of clusters, and few
+        got = found(clustering.cluster_join(rows, None, clustering.schedule(c, limit, True), blocks.within(t)))
+        want = {(a, b): d[a, b] for a in range(len(x)) for b in range(a) if d[a, b] <= t and d[own[a] * 8, own[b] * 8] <= limit}
+        assert got == pytest.approx(want) and len(want) > 20
+        assert copies["rows"] <= 2 * len(x)  # not once for each cluster that a row's own one meets
+    cross = found(clustering.cluster_join(rows.where("vec_id < 60"), rows.where("vec_id >= 60"), clustering.schedule(c, 9.0, False), blocks.within(t), 7))
+    assert cross.keys() == {(a, b) for a in range(60) for b in range(60, len(x)) if d[a, b] <= t and d[own[a] * 8, own[b] * 8] <= 9.0}
