@@ -142,3 +142,19 @@ def test_kmeans_is_lloyds(spark, x, monkeypatch):
     assert fit(f) == pytest.approx(c)
     same = clustering.fit_kmeans(frame(spark, np.ones((9, 3), np.float32)), 4).collect()
     assert [r.centroid for r in same] == [[1.0, 1.0, 1.0]]
+
+
+@pytest.mark.parametrize("scale,single", [(1.0, True), (1e-3, True), (1e18, False)])
+def test_products_in_single_precision(x, d, scale, single):
+    """Where their error is far below the threshold; pairs at exactly the threshold, and exact distances, stay."""
+    t = float(np.sort(d[d > 0])[500]) * scale * scale
+    y = x.astype(float) * scale
+    tile = blocks.Tile(np.arange(len(y)), y, np.arange(len(y)), y)
+    rough, eps = tile.rough(t)
+    exact = tile.exact(*(v.ravel() for v in np.indices((len(y), len(y)))[::-1])).reshape(len(y), len(y))
+    assert (rough.dtype == np.float32) == single and np.abs(rough - exact).max() <= eps
+    t = float(np.sort(exact[exact > 0])[500])
+    i, j, dist = blocks.within(t)(tile)
+    assert set(zip(i.tolist(), j.tolist())) == {(a, b) for a, b in zip(*np.nonzero(exact.T <= t))} and (dist == exact[j, i]).all()
+    far = blocks.Tile(tile.a, y + 1e5 * scale, tile.b, y + 1e5 * scale)
+    assert far.rough(t)[0].dtype == np.float64  # norms far above the distances
