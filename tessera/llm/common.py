@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import time
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -11,9 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.storage import delete_path, new_path, saved
+from tessera import storage
+from tessera.storage import delete_path, new_path
 
-__all__ = ["delete_path", "fold", "free_name", "hash_share", "join_known", "map_batches", "new_path", "partitions", "release", "saved", "small_batches"]
+__all__ = ["delete_path", "fold", "free_name", "hash_share", "join_known", "map_batches", "new_path", "partitions", "release", "saved", "small_batches", "trim_jvm"]
 
 #: Rows and bytes handed to a Python worker at once: a batch ends at whichever comes first (a single row may be longer).
 BATCH_ROWS = 1000
@@ -25,6 +27,36 @@ def release(spark: SparkSession) -> None:
     gc.collect()
     _give_back()
     spark.sparkContext._jvm.System.gc()
+    trim_jvm(spark)
+
+
+def trim_jvm(spark: SparkSession) -> str:
+    """Gives back what the driver's JVM has freed outside its heap: compilers, codecs and buffers leave it with malloc, some hundred MB in a long session.  What it says, or nothing where the JVM can't."""
+    jvm, array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    try:
+        named = jvm.java.lang.Class.forName
+        kinds, values = array(jvm.java.lang.Class, 4), array(jvm.java.lang.Object, 4)
+        for i, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[i] = named(name)
+        values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        return str(named("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(server, values))  # its own class is not open to calls
+    except Exception:  # noqa: BLE001  another JVM or C library
+        return ""
+
+
+#: Seconds between two releases of tables written one after another.
+RELEASE_EVERY_S = 2.0
+_released = [0.0]
+
+
+def saved(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """``storage.saved``; what the driver held for it is released now and then, so its memory does not grow with the tables that a session has written."""
+    out = storage.saved(df, name, path)
+    if time.monotonic() - _released[0] > RELEASE_EVERY_S:
+        release(df.sparkSession)
+        _released[0] = time.monotonic()
+    return out
 
 
 def partitions(spark: SparkSession) -> int:

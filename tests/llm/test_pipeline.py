@@ -3,7 +3,7 @@ import os
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import decontam, simhash, substring
+from tessera.llm import common, decontam, simhash, substring
 
 
 def test_stages(spark, data):
@@ -68,3 +68,14 @@ def test_odd_rows(spark, data, tmp_path):
     docs.limit(0).write.parquet(str(empty / "documents.parquet"))
     os.symlink(f"{data}/benchmark.parquet", empty / "benchmark.parquet")
     assert corpus_pipeline.run(spark, str(empty)).count() == 0
+
+
+def test_driver_gives_memory_back(spark, monkeypatch):
+    """Tables written one after another do not leave their plans and native memory with the driver."""
+    calls = []
+    monkeypatch.setattr(common, "release", lambda s, f=common.release: calls.append(s) or f(s))
+    monkeypatch.setattr(common, "_released", [0.0])
+    assert "RSS" in common.trim_jvm(spark)
+    for _ in range(3):
+        assert common.saved(spark.range(3), "few").count() == 3
+    assert calls
